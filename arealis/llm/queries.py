@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arealis.llm import byte_bpe, matroska, orc_tokens, token_counts
+from arealis.llm import byte_bpe, decontam, license_scan, matroska, orc_tokens, token_counts
 from arealis.llm.common import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.media_column(table(spark, sf_dir, "documents")))
 
