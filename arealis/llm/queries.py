@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.llm import byte_bpe, decontam, license_scan, matroska, nbsvm, orc_tokens, token_counts
+from arealis.llm import byte_bpe, decontam, license_scan, matroska, nbsvm, orc_tokens, suffix_dedup, token_counts, window_index
 from arealis.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.media_column(table(spark, sf_dir, "documents")))
 
@@ -27,6 +31,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_index.digests(window_index.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.stored_offsets(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
