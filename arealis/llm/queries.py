@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.llm import byte_bpe, decontam, license_scan, matroska, nbsvm, orc_tokens, suffix_dedup, token_counts, window_index
+from arealis.llm import byte_bpe, decontam, license_scan, matroska, nbsvm, ngram_jaccard, orc_tokens, suffix_dedup, token_counts, window_index
 from arealis.llm.common import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
 
