@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arealis.llm.common import map_rows, store_path, text_or_empty
+from arealis.llm.common import map_rows, store, store_path, text_or_empty
 
 #: Entries of a generation of the memo of words; the generation before is kept.
-MEMO = 250_000
+MEMO = 200_000
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+STOPS = re.compile("(?<=[a-z])([.,]+)(?=[ \t\r\n]|$)")
 STRIPE_BYTES = 16 << 20
 
 
@@ -39,12 +42,28 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        import regex
+
+        self.marks = regex.compile(r"\p{M}")
+        self.folds = all(self.ids("A Word, is.") == self.ids(x) for x in ("a word , is .", "a\tWORD,\nIs.")) and self.ids("tokens alike") == [t.id for w in ("tokens", "alike") for t in self.tokenizer.model.tokenize(w)]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def prepared(self, text: str) -> str:
+        """Fewer distinct words with the same tokens: A-Z in lower case, as the tokenizer has it, and the stops at a word's end apart.
+
+        Texts with combining marks, which are composed before they are lowered, keep their case, and so do those that may hold special tokens.
+        """
+        if not self.folds or "<|" in text or self.marks.search(text):
+            return text
+        return STOPS.sub(r" \1", text.encode().translate(LOWER).decode())
+
     def encode(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers, with end_id after them."""
-        parts = [re.split("[ \t\r\n]+", t) for t in texts]
+        parts = [re.split("[ \t\r\n]+", self.prepared(t)) for t in texts]
         memo = self.memo
         if len(memo) >= MEMO:
             self.old, self.memo = memo, (memo := {})
@@ -54,6 +73,12 @@ class WordEncoder:
                 rest.append(word)
             else:
                 memo[word] = ids
+        if self.folds:  # lower-case ASCII letters pass the normalizer and the splitter as they are
+            plain = [w for w in rest if w.isascii() and w.isalpha() and w.islower()]
+            for word in plain:
+                ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+                memo[word] = pack(f"<{len(ids)}I", *ids)
+            rest = [w for w in rest if w not in memo]
         for word, found in zip(rest, self.batch(rest, add_special_tokens=False) if rest else [], strict=True):
             memo[word] = np.asarray(found.ids, "<u4").tobytes()
         end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
@@ -99,7 +124,7 @@ def token_offsets(stored: DataFrame) -> DataFrame:
 
     kind = stored.schema["id"].dataType.simpleString()
     named = stored.select("id", "ids", F.col("_metadata.file_name").alias("file"))
-    sums = map_lists(named, f"id {kind}, file string, n_tokens long, ids_crc32 long", rows)
+    sums = store(map_lists(named, f"id {kind}, file string, n_tokens long, ids_crc32 long", rows), "orc-sums")
     files = sums.groupBy("file").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy(F.col("low").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
