@@ -1,0 +1,27 @@
+"""Whole files through Spark's readers and the Hadoop file system, so that any store works."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def content(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
+def write_bytes(spark: SparkSession, path: str, parts: Iterable[bytes], head: bytes = b"", tail: bytes = b"") -> None:
+    """Stream bytes to one file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    try:
+        held = bytearray(head)
+        for part in parts:
+            held += part
+            if len(held) > 1 << 20:
+                out.write(bytes(held))
+                held.clear()
+        out.write(bytes(held + tail))
+    finally:
+        out.close()
