@@ -163,7 +163,7 @@ PSEUDO = DRAWS.format("z") + ", pp AS (SELECT obs_id, (least(c, 99 - c) + 1) / 1
 
 
 def _lisa(t):
-    return autocorr.lisa_pseudo_p(autocorr.lisa(t.values(), t.queen(), "obs_id", "v"), "obs_id", 99)
+    return autocorr.lisa_pseudo_p(autocorr.lisa(t.values().select("obs_id", "v"), t.queen(), "obs_id", "v"), "obs_id", 99)
 
 
 @query("a09_lisa_pseudo_p", "obs_id:i p:f", PSEUDO, "SELECT obs_id, p FROM li")
