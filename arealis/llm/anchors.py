@@ -5,9 +5,9 @@ offsets, so a window can only occur twice if its anchor's gram does. Consecutive
 
 1. scan: each text gives its runs (gram hash, place, first window, number of windows);
 2. shared grams: those that stand in two places; texts with such runs are kept with their runs (`candidates`);
-3. segments: the units under a run. Equal segments are collapsed by a 128-bit hash with partial counts, before the shuffle;
-4. distinct segments of one gram meet in one task, sorted by gram, and are matched exactly there;
-   grams with more than HOT distinct segments are dealt out window by window instead, by 128 bits of each window;
+3. segments: the units under a run. Equal segments of a batch are counted together before the one shuffle that carries them;
+4. segments of one gram meet in one task, sorted by gram, and are matched exactly there;
+   grams with more than HOT of them are dealt out window by window instead, by 128 bits of each window;
 5. the answers go back to all places of a segment by a join that skew handling may split, and from there to texts.
 
 Copies of a text are one text here; whether a text has copies is known from counts.
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from arealis.llm.common import map_rows, store, text_key, text_or_empty
 
-#: Distinct segments of one gram that one task may hold.
+#: Segments of one gram that one task may hold.
 HOT = 2000
+#: Grams with more than that may be broadcast up to this number (8 bytes each).
+FREQUENT = 100_000
 #: Units that are hashed at once; texts of more are cut with overlaps.
 BLOCK = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -162,32 +164,49 @@ def candidates(docs: DataFrame, runs: DataFrame, keys: DataFrame, label: str, te
     return store(kept.join(distinct, ["a", "b"]), label)
 
 
-def segments(kept: DataFrame, unit: Unit) -> DataFrame:
-    """One row for each run of a kept text: a, b, key, first, n, segment, s1, s2."""
+def places(kept: DataFrame, unit: Unit) -> DataFrame:
+    """One row for each run of a kept text: a, b, key, first, s1, s2 (128 bits of its segment)."""
 
     def rows(part: pa.RecordBatch) -> dict:
-        out: dict = {n: [] for n in ("a", "b", "key", "first", "n", "segment")}
+        out: dict = {n: [] for n in ("a", "b", "key", "first", "segment")}
         for a, b, data, runs in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("runs").to_pylist(), strict=True):
             for r, s in zip(runs, unit.segments(data, runs), strict=True):
-                for n, v in (("a", a), ("b", b), ("key", r["key"]), ("first", r["first"]), ("n", r["n"]), ("segment", s)):
+                for n, v in (("a", a), ("b", b), ("key", r["key"]), ("first", r["first"]), ("segment", s)):
                     out[n].append(v)
         return out
 
-    cut = map_rows(kept.select("a", "b", "text", "runs"), "text", "a long, b long, key long, first int, n int, segment binary", rows)
-    return cut.withColumns({"s1": F.xxhash64("segment"), "s2": F.xxhash64(F.lit(7), "segment")})
+    cut = map_rows(kept.select("a", "b", "text", "runs"), "text", "a long, b long, key long, first int, segment binary", rows)
+    return cut.select("a", "b", "key", "first", *_segment_key())
+
+
+def segments(kept: DataFrame, unit: Unit) -> DataFrame:
+    """The segments under the runs: key, s1, s2, segment, copies. Equal ones are counted together within each batch of texts."""
+
+    def rows(part: pa.RecordBatch) -> dict:
+        seen: dict[tuple[int, bytes], int] = {}
+        for data, runs in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("runs").to_pylist(), strict=True):
+            for r, s in zip(runs, unit.segments(data, runs), strict=True):
+                seen[r["key"], s] = seen.get((r["key"], s), 0) + 1
+        return {"key": [k for k, _ in seen], "segment": [s for _, s in seen], "copies": list(seen.values())}
+
+    cut = map_rows(kept.select("text", "runs"), "text", "key long, segment binary, copies int", rows)
+    return cut.select("key", "segment", "copies", *_segment_key())
+
+
+def _segment_key():
+    return F.xxhash64("segment").alias("s1"), F.xxhash64(F.lit(7), "segment").alias("s2")
 
 
-def repeated(cut: DataFrame, unit: Unit, match: Callable[[list[bytes], list[int]], list[np.ndarray]], block_bytes: int) -> DataFrame:
-    """Per text (a, b): `spans`, the first and last starts of stretches of windows that occur more than once."""
-    distinct = cut.groupBy("key", "s1", "s2").agg(F.first("segment").alias("segment"), F.count(F.lit(1)).alias("copies"))
-    sizes = cut.select("key", "s1", "s2").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
-    sized = distinct.join(sizes.where(F.col("n_key") > 1), "key", "left")
-    # A segment alone under its gram is repeated within itself or as a whole; it still needs its own windows compared.
-    calm = sized.where(F.coalesce("n_key", F.lit(1)) <= HOT)
-    hot = sized.where(F.col("n_key") > HOT)
-    answers = _matched(calm, match, block_bytes).unionByName(_by_window(hot, unit))
-    places = cut.select("a", "b", "key", "s1", "s2", "first")
-    return places.join(answers, ["key", "s1", "s2"]).groupBy("a", "b").agg(F.collect_list(F.struct("first", "found")).alias("spans"))
+def repeated(kept: DataFrame, unit: Unit, match: Callable[[list[bytes], list[int]], list[np.ndarray]], block_bytes: int, label: str) -> DataFrame:
+    """Per text (a, b): `spans`, the first starts of runs with the stretches of their windows that occur more than once."""
+    cut = segments(kept, unit)
+    frequent = store(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), f"{label}-frequent")
+    few = frequent.count()
+    frequent = F.broadcast(frequent) if few <= FREQUENT else frequent
+    answers = _matched(cut.join(frequent, "key", "left_anti") if few else cut, match, block_bytes)
+    if few:
+        answers = answers.unionByName(_by_window(cut.join(frequent, "key", "left_semi"), unit))
+    return places(kept, unit).join(answers, ["key", "s1", "s2"]).groupBy("a", "b").agg(F.collect_list(F.struct("first", "found")).alias("spans"))
 
 
 def removal(kept: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
@@ -215,8 +234,12 @@ def _matched(calm: DataFrame, match: Callable, block_bytes: int) -> DataFrame:
     ddl = "key long, s1 long, s2 long, found array<int>"
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
-    def answer(held: list[tuple]) -> pa.RecordBatch:
-        flags = match([h[3] for h in held], [h[4] for h in held])
+    def answer(rows: list[tuple]) -> pa.RecordBatch:
+        copies: dict[tuple, int] = {}
+        for *name, n in rows:
+            copies[tuple(name)] = copies.get(tuple(name), 0) + n
+        held = list(copies)
+        flags = match([h[3] for h in held], list(copies.values()))
         rows = [(h[0], h[1], h[2], f) for h, f in zip(held, map(intervals, flags), strict=True) if f]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
 
@@ -252,7 +275,7 @@ def _by_window(hot: DataFrame, unit: Unit) -> DataFrame:
             out["w2"] += [(h & (1 << 64) - 1) - (1 << 63) for h in hashes]
         return out
 
-    single = map_rows(hot.select("key", "s1", "s2", "segment", "copies"), "segment", "key long, s1 long, s2 long, i int, w1 long, w2 long, copies long", rows)
+    single = map_rows(hot.select("key", "s1", "s2", "segment", "copies"), "segment", "key long, s1 long, s2 long, i int, w1 long, w2 long, copies int", rows)
     often = single.groupBy("w1", "w2").agg(F.sum("copies").alias("total")).where("total > 1").select("w1", "w2")
     found = single.join(often, ["w1", "w2"]).select("key", "s1", "s2", "i")
-    return found.groupBy("key", "s1", "s2").agg(F.flatten(F.collect_list(F.array("i", "i"))).alias("found"))
+    return found.groupBy("key", "s1", "s2").agg(F.flatten(F.collect_set(F.array("i", "i"))).alias("found"))

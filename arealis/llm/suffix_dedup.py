@@ -46,7 +46,7 @@ def dedup(docs: DataFrame, width: int = 400, gram: int = 48, id_col: str = "doc_
     unit = anchors.Unit(False, width, gram)
     runs = store(anchors.scan(docs, unit, text_col), "suffix-runs")
     kept = anchors.candidates(docs, runs, anchors.shared_keys(runs), "suffix-texts", text_col)
-    spans = anchors.repeated(anchors.segments(kept, unit), unit, lambda s, c: repeated_windows(s, c, width), SHARD_BYTES)
+    spans = anchors.repeated(kept, unit, lambda s, c: repeated_windows(s, c, width), SHARD_BYTES, "suffix")
     changed = anchors.removal(kept, spans, unit)
     text = text_or_empty(text_col)
     a, b = text_key(text)

@@ -105,7 +105,7 @@ def dedup(docs: DataFrame, width: int = 35, gram: int = 6, batches: int = 2, id_
         index.ingest(docs.where(F.pmod(F.xxhash64(F.lit(11), text), F.lit(batches)) == k), text_col)
     index.compact()
     kept = anchors.candidates(docs, index.all_runs(), index.keys(), "fingerprint-texts", text_col)
-    spans = anchors.repeated(anchors.segments(kept, unit), unit, lambda s, c: repeated_windows(s, c, width), BLOCK_BYTES)
+    spans = anchors.repeated(kept, unit, lambda s, c: repeated_windows(s, c, width), BLOCK_BYTES, "fingerprint")
     changed = anchors.removal(kept, spans, unit)
     words = F.array_remove(F.split(text, WORD_GAP), "")
     a, b = text_key(text)
