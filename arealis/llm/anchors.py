@@ -7,7 +7,8 @@ offsets, so a window can only occur twice if its anchor's gram does. Consecutive
 2. shared grams: those that stand in two places; texts with such runs are kept with their runs (`candidates`);
 3. segments: the units under a run. Equal segments of a batch are counted together before the one shuffle that carries them;
 4. segments of one gram meet in one task, sorted by gram, and are matched exactly there;
-   grams with more than HOT of them are dealt out window by window instead, by 128 bits of each window;
+   grams with more than HOT of them are cut into pieces of fewer windows, whose common units make finer keys, and so on down to
+   single windows, which are counted by 128 bits each;
 5. the answers go back to all places of a segment by a join that skew handling may split, and from there to texts.
 
 Copies of a text are one text here; whether a text has copies is known from counts.
@@ -15,6 +16,7 @@ Copies of a text are one text here; whether a text has copies is known from coun
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from arealis.llm.common import map_rows, store, text_key, text_or_empty
 HOT = 2000
 #: Grams with more than that may be broadcast up to this number (8 bytes each).
 FREQUENT = 100_000
+#: Windows of a piece, from coarse to fine.
+CHUNKS = (32, 4)
 #: Units that are hashed at once; texts of more are cut with overlaps.
 BLOCK = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -117,6 +121,20 @@ class Unit:
         return [b" ".join(parts[i : i + w]) for i in range(len(parts) - w + 1)]
 
 
+    def pieces(self, segment: bytes, key: int, off: int, chunk: int) -> Iterator[tuple[int, int, bytes]]:
+        """(key, index of the first window, units) of the windows whose offsets from the anchor fall into one chunk; the units they all hold make the key."""
+        import xxhash
+
+        units = segment.split(b" ") if self.words else segment
+        glue = b" ".join if self.words else bytes
+        last = len(units) - self.width
+        for c in range(off // chunk, (off + last) // chunk + 1):
+            at = c * chunk - off
+            i, j = max(0, at), min(last, at + chunk - 1)
+            core = glue(units[at + chunk - 1 : at + self.width])
+            yield xxhash.xxh3_64_intdigest(core + struct.pack("<qq", key, c)) - (1 << 63), i, glue(units[i : j + self.width])
+
+
 def intervals(flags: np.ndarray) -> list[int]:
     """First and last index of each stretch of set flags, flat."""
     edge = np.diff(np.concatenate([[False], flags, [False]]).view("i1"))
@@ -180,17 +198,18 @@ def places(kept: DataFrame, unit: Unit) -> DataFrame:
 
 
 def segments(kept: DataFrame, unit: Unit) -> DataFrame:
-    """The segments under the runs: key, s1, s2, segment, copies. Equal ones are counted together within each batch of texts."""
+    """The segments under the runs: key, s1, s2, off (of the first window from the anchor), segment, copies. Equal ones are counted together within each batch of texts."""
 
     def rows(part: pa.RecordBatch) -> dict:
-        seen: dict[tuple[int, bytes], int] = {}
+        seen: dict[tuple[int, bytes, int], int] = {}
         for data, runs in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("runs").to_pylist(), strict=True):
             for r, s in zip(runs, unit.segments(data, runs), strict=True):
-                seen[r["key"], s] = seen.get((r["key"], s), 0) + 1
-        return {"key": [k for k, _ in seen], "segment": [s for _, s in seen], "copies": list(seen.values())}
+                name = (r["key"], s, r["first"] - r["place"])
+                seen[name] = seen.get(name, 0) + 1
+        return {"key": [x[0] for x in seen], "segment": [x[1] for x in seen], "off": [x[2] for x in seen], "copies": list(seen.values())}
 
-    cut = map_rows(kept.select("text", "runs"), "text", "key long, segment binary, copies int", rows)
-    return cut.select("key", "segment", "copies", *_segment_key())
+    cut = map_rows(kept.select("text", "runs"), "text", "key long, off int, segment binary, copies int", rows)
+    return cut.select("key", "off", "segment", "copies", *_segment_key())
 
 
 def _segment_key():
@@ -199,14 +218,37 @@ def _segment_key():
 
 def repeated(kept: DataFrame, unit: Unit, match: Callable[[list[bytes], list[int]], list[np.ndarray]], block_bytes: int, label: str) -> DataFrame:
     """Per text (a, b): `spans`, the first starts of runs with the stretches of their windows that occur more than once."""
-    cut = segments(kept, unit)
+    answers = _answers(segments(kept, unit), unit, match, block_bytes, label, [c for c in CHUNKS if c < unit.width])
+    return places(kept, unit).join(answers, ["key", "s1", "s2"]).groupBy("a", "b").agg(F.collect_list(F.struct("first", "found")).alias("spans"))
+
+
+def _answers(cut: DataFrame, unit: Unit, match: Callable, block_bytes: int, label: str, chunks: list[int]) -> DataFrame:
+    """(key, s1, s2, found): groups of at most HOT rows are matched whole; larger ones are cut into pieces under finer keys, and in the end into windows."""
     frequent = store(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), f"{label}-frequent")
     few = frequent.count()
+    if not few:
+        return _matched(cut, match, block_bytes)
     frequent = F.broadcast(frequent) if few <= FREQUENT else frequent
-    answers = _matched(cut.join(frequent, "key", "left_anti") if few else cut, match, block_bytes)
-    if few:
-        answers = answers.unionByName(_by_window(cut.join(frequent, "key", "left_semi"), unit))
-    return places(kept, unit).join(answers, ["key", "s1", "s2"]).groupBy("a", "b").agg(F.collect_list(F.struct("first", "found")).alias("spans"))
+    calm = _matched(cut.join(frequent, "key", "left_anti"), match, block_bytes)
+    hot = cut.join(frequent, "key", "left_semi")
+    if not chunks:
+        return calm.unionByName(_by_window(hot, unit))
+
+    def rows(part: pa.RecordBatch) -> dict:
+        out: dict = {n: [] for n in ("pk", "p1", "p2", "shift", "key", "off", "segment", "copies")}
+        for key, s1, s2, off, segment, copies in zip(*(part.column(n).to_pylist() for n in ("key", "s1", "s2", "off", "segment", "copies")), strict=True):
+            for fine, i, piece in unit.pieces(segment, key, off, chunks[0]):
+                for n, v in (("pk", key), ("p1", s1), ("p2", s2), ("shift", i), ("key", fine), ("off", off + i), ("segment", piece), ("copies", copies)):
+                    out[n].append(v)
+        return out
+
+    cut_up = map_rows(hot.select("key", "s1", "s2", "off", "segment", "copies"), "segment", "pk long, p1 long, p2 long, shift int, key long, off int, segment binary, copies int", rows)
+    cut_up = store(cut_up.select("pk", "p1", "p2", "shift", "key", "off", "segment", "copies", *_segment_key()), f"{label}-pieces")
+    parts = cut_up.groupBy("key", "s1", "s2", "off").agg(F.first("segment").alias("segment"), F.sum("copies").cast("int").alias("copies"))
+    inner = _answers(parts, unit, match, block_bytes, label, chunks[1:])
+    up = cut_up.select("pk", "p1", "p2", "shift", "key", "s1", "s2").distinct().join(inner, ["key", "s1", "s2"])
+    found = up.groupBy("pk", "p1", "p2").agg(F.flatten(F.collect_list(F.expr("transform(found, x -> x + shift)"))).alias("found"))
+    return calm.unionByName(found.select(F.col("pk").alias("key"), F.col("p1").alias("s1"), F.col("p2").alias("s2"), "found"))
 
 
 def removal(kept: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
