@@ -15,7 +15,7 @@ Texts with equal sets are one node. A token with very many holders in one batch
 random, so that no task gets all holders of one token.
 
 Defined results: words are runs between ASCII white space, A-Z in lower case; with fewer than n words the whole sequence is one token;
-null and empty texts have none and link with nothing; rows with one id are one document; a null id links nothing.
+null and empty texts have none and link with nothing; rows of one id with different texts keep their own components; a null id links nothing.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from arealis.llm.graph import components
 
 #: Most holders of a token that is an entry of its own.
 RARE = 32
+#: Ids (8 bytes each) that may be broadcast to find the sets of a round.
+FEW = 500_000
 #: The first part of the hash range, in 1/256.
 FIRST = 72
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -209,6 +211,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
             keep.append(100 * common >= share * (len(p) + len(q) - common))
         return {"x": part.column("x").filter(pa.array(keep, pa.bool_())), "y": part.column("y").filter(pa.array(keep, pa.bool_()))}
 
+    ids = store(pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).distinct(), "jaccard-ids")
+    sets = store(sets.join(F.broadcast(ids) if ids.count() <= FEW else ids, "s1", "left_semi"), "jaccard-needed")
     left = pairs.join(sets.select(F.col("s1").alias("x"), F.col("tokens").alias("p")), "x")
     both = left.join(sets.select(F.col("s1").alias("y"), F.col("tokens").alias("q")), "y")
     return map_rows(both.select("x", "y", "p", "q"), "p", "x long, y long", rows)
@@ -251,6 +255,8 @@ def links(held: DataFrame, sets: DataFrame, share: int) -> tuple[DataFrame, Data
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = store(pairs, "jaccard-pairs")
+        if edges is not None and not pairs.limit(1).count():
+            continue
         found = store(_verified(pairs, sets, share), "jaccard-links")
         tested = pairs if tested is None else tested.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
@@ -275,7 +281,7 @@ def join(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id
     shared = shared_tokens(map_rows(keyed(docs, text_col).select("text"), "text", TOKEN_ROWS, first_rows))
     listed = shared.groupBy("s1").agg(F.collect_set(F.struct("pos", "token", "often")).alias("tokens"), F.sum("often").alias("n_often"))
     listed = store(nodes.join(listed, "s1", "left").withColumn("n_often", F.size(F.filter(F.coalesce("tokens", F.array()), lambda t: t["often"] == 1))).withColumn("lacks", F.expr(f"first - n_often < n - ceil({share} * n / 100) + 1")), "jaccard-tokens")
-    wanted = listed.where("lacks or size(tokens) > 0")
+    wanted = listed.where("lacks or exists(tokens, t -> t.often = 0)")
 
     def set_rows(part: pa.RecordBatch) -> dict:
         return {"s1": part.column("s1"), "n": part.column("n"), "first": part.column("first"), "lacks": part.column("lacks"), "tokens": [tokens_of(t, words).tobytes() for t in _texts(part)]}
@@ -290,11 +296,10 @@ def join(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id
     more = shared_tokens(map_rows(sets.where("lacks").select("s1", "first", "tokens"), "tokens", TOKEN_ROWS, rest_rows))
     more = more.groupBy("s1").agg(F.collect_set(F.struct("pos", "token", "often")).alias("more"))
     full = listed.where("lacks").join(more, "s1", "left").withColumn("tokens", F.concat(F.coalesce("tokens", F.expr("cast(array() as array<struct<pos:int,token:bigint,often:int>>)")), F.coalesce("more", F.expr("cast(array() as array<struct<pos:int,token:bigint,often:int>>)"))))
-    held = store(_entered(listed.where("not lacks and size(tokens) > 0"), False, share).unionAll(_entered(full, True, share)), "jaccard-entries")
+    held = store(_entered(listed.where("not lacks and exists(tokens, t -> t.often = 0)"), False, share).unionAll(_entered(full, True, share)), "jaccard-entries")
     _, labels = links(held, sets.select("s1", "tokens"), share)
 
     placed = head.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
-    # Sets are told apart by both keys; ids that stand for several sets bring their components together.
     least = placed.where("n > 0 and id is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     same = head.where("n > 0").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n_same"))
     out = placed.join(least, "comp", "left").join(same, ["s1", "s2"], "left")
