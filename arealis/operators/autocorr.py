@@ -184,13 +184,16 @@ def getis_ord(df: DataFrame, w: DataFrame, key: str, x: str, binary: bool = Fals
     var_all = F.try_divide(F.col("_xx"), n) - mean_all * mean_all
     weight = F.lit(1.0) if binary else F.try_divide(F.lit(1.0), k)
     g = F.when(live, F.try_divide(weight * F.col("_s"), rest))
-    eg = F.try_divide(weight * k, count)
-    vg = F.try_divide(weight * weight * k * (count - k) * var_rest, count * count * (count - 1) * mean_rest * mean_rest) * 1.0
+    # The sum of an observation's weights: 1 when rows are standardised.
+    both = weight * k
+    eg = F.try_divide(both, count)
+    vg = F.try_divide(both * (count - both) * var_rest, count * count * (count - 1) * mean_rest * mean_rest)
     kk = k + 1
     star_weight = F.lit(1.0) if binary else F.try_divide(F.lit(1.0), kk)
     gs = F.try_divide(star_weight * (F.col("_s") + own), total)
-    es = F.try_divide(star_weight * kk, n)
-    vs = F.try_divide(star_weight * star_weight * kk * (n - kk) * var_all, n * n * (n - 1) * mean_all * mean_all)
+    star = star_weight * kk
+    es = F.try_divide(star, n)
+    vs = F.try_divide(star * (n - star) * var_all, n * n * (n - 1) * mean_all * mean_all)
     found = found.withColumns({"g": g, "g_star": gs})
     found = found.withColumns({"z_g": F.when(vg > 0, F.try_divide(F.col("g") - eg, F.sqrt(vg))), "z_star": F.when(vs > 0, F.try_divide(F.col("g_star") - es, F.sqrt(vs)))})
     found = found.withColumns({"p_g": normal_tail(F.abs("z_g")), "p_star": normal_tail(F.abs("z_star"))})

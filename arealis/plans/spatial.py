@@ -198,7 +198,7 @@ def _tail(z: str) -> str:
     return f"exp(-{z} * {z} / 2) / sqrt(2 * pi()) * (1 / (1 + 0.2316419 * abs({z}))) * (0.319381530 + (1 / (1 + 0.2316419 * abs({z}))) * (-0.356563782 + (1 / (1 + 0.2316419 * abs({z}))) * (1.781477937 + (1 / (1 + 0.2316419 * abs({z}))) * (-1.821255978 + (1 / (1 + 0.2316419 * abs({z}))) * 1.330274429))))"
 
 
-GETIS = f"{WQ}, {VAL}, gs AS (SELECT obs_id, v, (SELECT sum(b.v) FROM wq JOIN val b ON b.obs_id = dst WHERE src = a.obs_id) AS s, CAST((SELECT count(*) FROM wq WHERE src = a.obs_id) AS DOUBLE) AS k, CAST(count(*) OVER () AS DOUBLE) AS n, sum(v) OVER () AS tx, sum(v * v) OVER () AS txx FROM val a), gg AS (SELECT *, s / k / (tx - v) AS g, (s + v) / (k + 1) / tx AS g_star, 1 / (n - 1) AS eg, ((n - 1) / k - 1) * ((txx - v * v) / (n - 1) - ((tx - v) / (n - 1)) * ((tx - v) / (n - 1))) / ((n - 1) * (n - 1) * (n - 2) * ((tx - v) / (n - 1)) * ((tx - v) / (n - 1))) AS vg, (n / (k + 1) - 1) * (txx / n - (tx / n) * (tx / n)) / (n * n * (n - 1) * (tx / n) * (tx / n)) AS vs FROM gs), gz AS (SELECT *, (g - eg) / sqrt(vg) AS z_g, (g_star - 1 / n) / sqrt(vs) AS z_star FROM gg), gp AS (SELECT *, {_tail('z_g')} AS p_g, {_tail('z_star')} AS p_star FROM gz), gc AS (SELECT *, CASE WHEN p_g > 0.05 THEN 0 WHEN z_g > 0 THEN 1 ELSE 2 END AS cluster_g, CASE WHEN p_star > 0.05 THEN 0 WHEN z_star > 0 THEN 1 ELSE 2 END AS cluster_star FROM gp)"
+GETIS = f"{WQ}, {VAL}, gs AS (SELECT obs_id, v, (SELECT sum(b.v) FROM wq JOIN val b ON b.obs_id = dst WHERE src = a.obs_id) AS s, CAST((SELECT count(*) FROM wq WHERE src = a.obs_id) AS DOUBLE) AS k, CAST(count(*) OVER () AS DOUBLE) AS n, sum(v) OVER () AS tx, sum(v * v) OVER () AS txx FROM val a), gg AS (SELECT *, s / k / (tx - v) AS g, (s + v) / (k + 1) / tx AS g_star, 1 / (n - 1) AS eg, (n - 2) * ((txx - v * v) / (n - 1) - ((tx - v) / (n - 1)) * ((tx - v) / (n - 1))) / ((n - 1) * (n - 1) * (n - 2) * ((tx - v) / (n - 1)) * ((tx - v) / (n - 1))) AS vg, (n - 1) * (txx / n - (tx / n) * (tx / n)) / (n * n * (n - 1) * (tx / n) * (tx / n)) AS vs FROM gs), gz AS (SELECT *, (g - eg) / sqrt(vg) AS z_g, (g_star - 1 / n) / sqrt(vs) AS z_star FROM gg), gp AS (SELECT *, {_tail('z_g')} AS p_g, {_tail('z_star')} AS p_star FROM gz), gc AS (SELECT *, CASE WHEN p_g > 0.05 THEN 0 WHEN z_g > 0 THEN 1 ELSE 2 END AS cluster_g, CASE WHEN p_star > 0.05 THEN 0 WHEN z_star > 0 THEN 1 ELSE 2 END AS cluster_star FROM gp)"
 
 
 def _getis(t):
