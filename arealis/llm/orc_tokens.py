@@ -19,6 +19,7 @@ import re
 import zlib
 from functools import lru_cache
 from struct import pack
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,11 @@ from pyspark.sql import types as T
 from arealis.llm.common import map_rows, store, store_path, text_or_empty
 
 #: Entries of a generation of the memo of words; the generation before is kept.
-MEMO = 200_000
+MEMO = 300_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Byte-level vocabularies write bytes that are no visible Latin-1 characters as letters from U+0100 on, in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 STOPS = re.compile("(?<=[a-z])([.,]+)(?=[ \t\r\n]|$)")
 STRIPE_BYTES = 16 << 20
 
@@ -45,7 +49,7 @@ class WordEncoder:
         import regex
 
         self.marks = regex.compile(r"\p{M}")
-        self.folds = all(self.ids("A Word, is.") == self.ids(x) for x in ("a word , is .", "a\tWORD,\nIs.")) and self.ids("tokens alike") == [t.id for w in ("tokens", "alike") for t in self.tokenizer.model.tokenize(w)]
+        self.folds = all(self.ids("A Word, is.") == self.ids(x) for x in ("a word , is .", "a\tWORD,\nIs.")) and self.ids("tokens alike") == [t.id for w in ("tokens", "alike") for t in self.tokenizer.model.tokenize(w)] and self.ids("\u00e9t\u00e9\u00df") == [t.id for t in self.tokenizer.model.tokenize("\u00e9t\u00e9\u00df".encode().decode("latin-1").translate(BYTE_LETTERS))]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -73,12 +77,21 @@ class WordEncoder:
                 rest.append(word)
             else:
                 memo[word] = ids
-        if self.folds:  # lower-case ASCII letters pass the normalizer and the splitter as they are
-            plain = [w for w in rest if w.isascii() and w.isalpha() and w.islower()]
-            for word in plain:
-                ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        if self.folds:  # composed lower-case Latin letters pass the normalizer and the splitter as they are
+            tokenize, left = self.tokenizer.model.tokenize, []
+            for word in rest:
+                if not (word.isalpha() and word.islower()):
+                    left.append(word)
+                    continue
+                mapped = word
+                if not word.isascii():
+                    if max(word) >= "\u0250" or word.lower() != word or not is_normalized("NFC", word):
+                        left.append(word)
+                        continue
+                    mapped = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [t.id for t in tokenize(mapped)]
                 memo[word] = pack(f"<{len(ids)}I", *ids)
-            rest = [w for w in rest if w not in memo]
+            rest = left
         for word, found in zip(rest, self.batch(rest, add_special_tokens=False) if rest else [], strict=True):
             memo[word] = np.asarray(found.ids, "<u4").tobytes()
         end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
