@@ -220,6 +220,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 def _apart(held: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Holders with their component, of entries that more than one component holds."""
+    held = held.select("entry", "s1", "n")
     if labels is not None:
         held = held.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
     else:
@@ -239,11 +240,18 @@ def _starred(held: DataFrame, largest: bool, share: int) -> DataFrame:
     return held.join(lead, "entry").where(_sizes_fit(share)).where("comp <> other").select(F.least("s1", "lead").alias("x"), F.greatest("s1", "lead").alias("y"), "s1", "lead")
 
 
+def distinct_entries(held: DataFrame) -> DataFrame:
+    """One entry of those with the same holders (told by 128 bits, their number and ends); entries of one holder go."""
+    sets = held.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("s1")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "s1")).alias("h2"), F.min("s1").alias("low"), F.max("s1").alias("high")).where("c > 1")
+    kept = sets.groupBy("c", "h1", "h2", "low", "high").agg(F.min("entry").alias("entry")).select("entry")
+    return held.join(kept, "entry")
+
+
 def links(held: DataFrame, sets: DataFrame, share: int) -> tuple[DataFrame, DataFrame | None]:
     """Edges that join all linked sets (not every link), and the components they make."""
     tested, edges, labels = None, None, None
     for step in ("one", "star", "last", "rest"):
-        apart = _apart(held, labels)
+        held = apart = store(_apart(held, labels), "jaccard-apart")  # entries within one component stay so
         if step == "one":
             pairs = _starred(apart, False, share).groupBy("s1").agg(F.min("lead").alias("lead")).select(F.least("s1", "lead").alias("x"), F.greatest("s1", "lead").alias("y"))
         elif step == "rest":
@@ -297,6 +305,7 @@ def join(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id
     more = more.groupBy("s1").agg(F.collect_set(F.struct("pos", "token", "often")).alias("more"))
     full = listed.where("lacks").join(more, "s1", "left").withColumn("tokens", F.concat(F.coalesce("tokens", F.expr("cast(array() as array<struct<pos:int,token:bigint,often:int>>)")), F.coalesce("more", F.expr("cast(array() as array<struct<pos:int,token:bigint,often:int>>)"))))
     held = store(_entered(listed.where("not lacks and exists(tokens, t -> t.often = 0)"), False, share).unionAll(_entered(full, True, share)), "jaccard-entries")
+    held = store(distinct_entries(held), "jaccard-held")
     _, labels = links(held, sets.select("s1", "tokens"), share)
 
     placed = head.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
