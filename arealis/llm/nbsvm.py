@@ -38,7 +38,7 @@ def indicators(text: str) -> np.ndarray:
         if n > 1:
             codes = (codes[:-1] << np.uint64(8)) | data[n - 1 :]
         if n in GRAMS and len(codes):
-            found.append(np.unique(codes) * GOLDEN + np.uint64(n) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - BITS))
+            found.append(np.unique(codes) * GOLDEN + np.uint64(n * 0xC2B2AE3D27D4EB4F % (1 << 64)) >> np.uint64(64 - BITS))
     words = text.split()
     marks = "".join(["1" if a == b else "0" for a, b in zip(words, words[1:], strict=False)])
     tokens = {marks[i : i + n] for n in REPEATS for i in range(len(marks) - n + 1)} if "1" in marks else set()

@@ -160,6 +160,8 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.nda
     Where the symbols before both differ the value is compared afresh; elsewhere it is that of the position before, less one.
     """
     n = len(text)
+    if n == 1:
+        return np.zeros(1, "i4")
     before = np.full(n, -1, "i8")
     before[order[1:]] = order[:-1]
     here = np.arange(n)
