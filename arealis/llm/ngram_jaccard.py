@@ -200,22 +200,28 @@ def _entered(nodes: DataFrame, whole: bool, share: int) -> DataFrame:
     return map_rows(nodes.select("s1", "n", "first", "tokens", F.lit("").alias("pad")), "pad", "entry long, s1 long, n int", rows)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (x, y) whose sets are alike enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, share: int, whole: bool) -> DataFrame:
+    """The pairs (x, y) whose sets are alike enough; from the first part of the hash range, those that may still be."""
 
     def rows(part: pa.RecordBatch) -> dict:
         keep = []
-        for p, q in zip(part.column("p").to_pylist(), part.column("q").to_pylist(), strict=True):
+        for p, q, n, m in zip(*(part.column(c).to_pylist() for c in ("p", "q", "n", "m")), strict=True):
             p, q = np.frombuffer(p, "u8"), np.frombuffer(q, "u8")
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * common >= share * (len(p) + len(q) - common))
+            common = len(np.intersect1d(p, q, assume_unique=True)) + min(n - len(p), m - len(q))
+            keep.append(100 * common >= share * (n + m - common))
         return {"x": part.column("x").filter(pa.array(keep, pa.bool_())), "y": part.column("y").filter(pa.array(keep, pa.bool_()))}
 
     ids = store(pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).distinct(), "jaccard-ids")
-    sets = store(sets.join(F.broadcast(ids) if ids.count() <= FEW else ids, "s1", "left_semi"), "jaccard-needed")
-    left = pairs.join(sets.select(F.col("s1").alias("x"), F.col("tokens").alias("p")), "x")
-    both = left.join(sets.select(F.col("s1").alias("y"), F.col("tokens").alias("q")), "y")
-    return map_rows(both.select("x", "y", "p", "q"), "p", "x long, y long", rows)
+    used = sets.join(F.broadcast(ids) if ids.count() <= FEW else ids, "s1", "left_semi").select("s1", "n", F.col("tokens") if whole else F.expr("substring(tokens, 1, 8 * first)").alias("tokens"))
+    left = pairs.join(used.select(F.col("s1").alias("x"), F.col("tokens").alias("p"), "n"), "x")
+    both = left.join(used.select(F.col("s1").alias("y"), F.col("tokens").alias("q"), F.col("n").alias("m")), "y")
+    return map_rows(both.select("x", "y", "p", "q", "n", "m"), "p", "x long, y long", rows)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Whole sets move only for pairs that their first tokens, in order of the hash, don't rule out."""
+    likely = store(_compared(pairs, sets, share, False), "jaccard-likely")
+    return _compared(likely, sets, share, True)
 
 
 def _apart(held: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -306,7 +312,7 @@ def join(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id
     full = listed.where("lacks").join(more, "s1", "left").withColumn("tokens", F.concat(F.coalesce("tokens", F.expr("cast(array() as array<struct<pos:int,token:bigint,often:int>>)")), F.coalesce("more", F.expr("cast(array() as array<struct<pos:int,token:bigint,often:int>>)"))))
     held = store(_entered(listed.where("not lacks and exists(tokens, t -> t.often = 0)"), False, share).unionAll(_entered(full, True, share)), "jaccard-entries")
     held = store(distinct_entries(held), "jaccard-held")
-    _, labels = links(held, sets.select("s1", "tokens"), share)
+    _, labels = links(held, sets.select("s1", "n", "first", "tokens"), share)
 
     placed = head.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
     least = placed.where("n > 0 and id is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
