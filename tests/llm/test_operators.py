@@ -66,6 +66,25 @@ def test_licenses(docs, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_license_runs(spark):
+    notice, body = license_scan.TEMPLATES["GPL-3.0-header"].split(), license_scan.TEMPLATES["MIT-text"]
+    wrapped = "\n".join(" ".join(notice[i : i + 7]) for i in range(0, len(notice), 7))
+    short = license_scan.TEMPLATES["CC-BY-NC-4.0"]
+    cut = body.split()
+    del cut[30:34], cut[90:93]
+    texts = [_prose(40) + "\n" + wrapped + "\n" + _prose(300), _prose(50) + "\n\n" + body + "\n" + _prose(400), body, _prose(30) + " " + short + " " + _prose(30), "x\nAll rights reserved.\ny", _prose(20) + "\n" + " ".join(cut) + "\n" + _prose(20) + " " + short + "\n" + _prose(400), "Released under the MIT License.", license_scan.TEMPLATES["GPL-3.0-text"] + "\n" + _prose(7000)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(6, texts[6])], "doc_id long, text string")
+    got = sorted(tuple(r) for r in license_scan.scan(rows).select("doc_id", "unit", "place", "license", F.round("dice", 3)).collect())
+    assert [g for g in got if g[0] == 0] == [(0, "run", 2, "GPL-3.0-header", 1.0)]
+    assert [g for g in got if g[0] == 1] == [(1, "run", 3, "MIT-text", 1.0)]
+    assert [g for g in got if g[0] == 2] == [(2, "text", 0, "MIT-text", 1.0)]
+    assert [g for g in got if g[0] == 3] == [(3, "run", 1, "CC-BY-NC-4.0", 1.0)]
+    assert [g for g in got if g[0] == 4] == [(4, "line", 2, "All-rights-reserved", 1.0)]
+    assert [g[:4] for g in got if g[0] == 5] == [(5, "line", 2, "MIT-text"), (5, "run", 3, "CC-BY-NC-4.0")]
+    assert [g for g in got if g[0] == 6] == 2 * [(6, "line", 1, "MIT", 1.0)]
+    assert (7, "run", 1, "GPL-3.0-text", 1.0) in got
+
+
 def test_decontamination(spark, docs, nothing):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontam.contamination(docs, bench).collect()}
