@@ -96,6 +96,30 @@ def test_decontamination(spark, docs, nothing):
     assert decontam.proximity(windows, index, 30).count() > 0
 
 
+def test_proximity(spark):
+    rng = random.Random(9)
+    item = ["k%d" % i for i in range(20)]
+    changed = [x for w in item for x in (w, "between")]
+    shuffled = rng.sample(item, 20)
+    texts = [" ".join(t) for t in (changed, shuffled, item, item[::-1], [item[0], *["far"] * 40, *item[1:2]], ["none"], [item[0], "x", item[5], item[0]])]
+    bench = spark.createDataFrame([("i", " ".join(item)), ("j", "k3 other words")], "item_id string, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = decontam.store(decontam._items(bench, "item_id", "text"), "t")
+    for within in (13, 5):
+        windows, index = decontam.build_index(docs, items, 13, "doc_id", "text")
+        got = Counter(tuple(r) for r in decontam.proximity(windows, index, within).join(docs.select("doc_id", F.xxhash64("text").alias("a")), "a").select("doc_id", "k", "s", "p1", "p2").collect())
+        want = Counter()
+        for w in windows.where("q1 <> q2").collect():
+            for i, t in enumerate(texts):
+                words = t.split()
+                want.update((i, w.k, w.s, p, q) for p, x in enumerate(words) for q, y in enumerate(words) if x == w.w1 and y == w.w2 and 0 < abs(p - q) <= within)
+        assert got == want and {g[0] for g in got} >= {0, 1, 2, 3}
+        found = {r.doc_id: (r.n_near, r.near_items, r.n_hit) for r in decontam.contamination(docs, bench, within=within).collect()}
+        ids = {r.k: r.item for r in items.collect()}
+        assert {i: v[1] for i, v in found.items()} == {i: sorted({ids[g[1]] for g in got if g[0] == i}) for i in range(len(texts))}
+        assert found[1][2] == 0 and found[2][2] == 20
+
+
 def _dedup(seqs, width, glue):
     seen = Counter(bytes(s[i : i + width]) if isinstance(s, bytes) else tuple(s[i : i + width]) for s in seqs for i in range(len(s) - width + 1))
     out = []
