@@ -69,30 +69,40 @@ def best_breaks(values: np.ndarray, counts: np.ndarray, classes: int) -> list[fl
         k = n[j] - n[i]
         return q[j] - q[i] - (s[j] - s[i]) ** 2 / np.where(k > 0, k, 1)
 
-    best = np.full((classes + 1, m + 1), np.inf)
-    back = np.zeros((classes + 1, m + 1), int)
-    best[0, 0] = 0
-    for c in range(1, classes + 1):
-        for j in range(c, m + 1):
-            i = np.arange(c - 1, j)
-            total = best[c - 1, i] + cost(i, j)
+    def fill(before: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best totals of c classes over each prefix: best cuts never move back, so the middle of a stretch bounds those of its halves."""
+        now, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
+        open_ = [(c, m, c - 1, m - 1)]
+        while open_:
+            lo, hi, first, last = open_.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            total = before[i] + cost(i, j)
             at = int(total.argmin())
-            best[c, j], back[c, j] = total[at], i[at]
+            now[j], cut[j] = total[at], i[at]
+            open_ += [(lo, j - 1, first, int(i[at])), (j + 1, hi, int(i[at]), last)]
+        return now, cut
+
+    best = np.full(m + 1, np.inf)
+    best[0] = 0
+    back = [np.zeros(m + 1, int)]
+    for c in range(1, classes + 1):
+        best, cut = fill(best, c)
+        back.append(cut)
     cuts, j = [], m
     for c in range(classes, 1, -1):
-        j = back[c, j]
+        j = back[c][j]
         cuts.append(float(values[j]))
     return cuts[::-1]
 
 
-def natural_breaks(df: DataFrame, x: str, classes: int, out: str = "cat", most: int = 2000) -> DataFrame:
-    """Exact natural breaks on up to `most` distinct values; beyond that, on so many equal-count groups of values."""
-    table = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    if table.limit(most + 1).count() > most:
-        cuts = table.approxQuantile("v", [k / most for k in range(1, most)], 0.1 / most)
-        table = table.groupBy(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("v")))).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("v"), F.sum("c").alias("c")).select("v", "c")
-    rows = sorted(table.collect())  # `most` rows at most
-    return by_breaks(df, x, best_breaks(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), classes), out)
+def natural_breaks(df: DataFrame, x: str, classes: int, out: str = "cat") -> DataFrame:
+    """Exact natural breaks at every size: the distinct values with their counts, 16 bytes each, come to the driver."""
+    table = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    rows = table.toArrow().sort_by("v")
+    return by_breaks(df, x, best_breaks(rows["v"].to_numpy(), rows["c"].to_numpy(), classes), out)
 
 
 def by_breaks(df: DataFrame, x: str, breaks: list[float], out: str = "cat") -> DataFrame:

@@ -205,3 +205,16 @@ def test_spatial_models_find_the_maximum(lattice):
     saved = regression.save_lag(df, "y", ["x"], w, fit).orderBy("obs_id").toPandas()
     want = np.linalg.solve(np.eye(len(y)) - fit.spatial * ws, design @ fit.coef[:2])
     assert saved["LAG_PREDIC"].to_numpy() == pytest.approx(want, abs=1e-6)
+
+
+def test_natural_breaks_are_exact_on_many_values(spark):
+    rng = np.random.default_rng(3)
+    values = np.unique(np.round(rng.gamma(1.2, 50, 2600), 4))
+    assert len(values) > 2000
+    n = np.arange(len(values) + 1.0)
+    s, q = (np.concatenate([[0.0], np.cumsum(c)]) for c in (values, values * values))
+    best = np.where(n > 0, q - s * s / np.maximum(n, 1), 0)
+    for _ in range(3):
+        best = np.array([0.0] + [min(best[i] + q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i) for i in range(j)) for j in range(1, len(values) + 1)])
+    got = classify.natural_breaks(frame(spark, [float(v) for v in values]), "v", 4).groupBy("cat").agg((F.var_pop("v") * F.count("v")).alias("w")).agg(F.sum("w")).first()[0]
+    assert got == pytest.approx(best[-1], rel=1e-9)
