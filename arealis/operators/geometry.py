@@ -39,7 +39,7 @@ def _ring(geom: str, part: str = "0") -> str:
 
 
 def _steps(ring: str) -> str:
-    return f"zip_with(slice({ring}, 1, size({ring}) - 1), slice({ring}, 2, size({ring}) - 1), (p, q) -> struct(p, q))"
+    return f"zip_with(slice({ring}, 1, greatest(size({ring}) - 1, 0)), slice({ring}, 2, greatest(size({ring}) - 1, 0)), (p, q) -> struct(p, q))"
 
 
 def _sum(ring: str, term: str) -> str:
@@ -56,7 +56,7 @@ def centroid(geom: str = "geom", full: bool = False) -> dict[str, Column]:
         of = lambda term: f"aggregate({rings}, cast(0 as double), (s, r) -> s + {_sum('r', term)})"
     else:
         of = lambda term: _sum(_ring(geom), term)
-    area, first = of(CROSS), f"{geom}.points[0]"
+    area, first = of(CROSS), f"get({geom}.points, 0)"
     at = lambda axis: F.expr(f"case when size({geom}.points) < 4 or {area} = 0 then {first}.{axis} else {of(f'(e.p.{axis} + e.q.{axis}) * {CROSS}')} / (3 * {area}) end")
     return {"xcntrd": at("x"), "ycntrd": at("y")}
 
@@ -132,7 +132,7 @@ def orient(rings: list[list[tuple[float, float]]]) -> list[list[tuple[float, flo
 
 
 def clip_cell(site: tuple[float, float], others: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
-    """The part of the box nearer to the site than to any other: half-plane cuts, nearest first, until none can reach."""
+    """The part of the box nearer to the site than to any other: half-plane cuts, nearest first, until none can reach; empty if nothing is."""
     x0, y0, x1, y1 = box
     cell = [(x0, y0), (x0, y1), (x1, y1), (x1, y0)]
     sx, sy = site
@@ -150,9 +150,17 @@ def clip_cell(site: tuple[float, float], others: list[tuple[float, float]], box:
                 t = a / (a - b)
                 out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
         cell = out
+        if not cell:
+            return []
     return [*cell, cell[0]]
 
 
+def extent(points: DataFrame, margin: float) -> tuple[float, float, float, float]:
+    """The bounding box of points, widened by a margin."""
+    x0, y0, x1, y1 = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    return x0 - margin, y0 - margin, x1 + margin, y1 + margin
+
+
 def thiessen(points: DataFrame, box: tuple[float, float, float, float], most: int = 200_000) -> DataFrame:
     """(obs_id, geom): Voronoi cells clipped to the box. Sites (at most `most`, checked) go to every task; coincident sites are refused."""
     sites = [tuple(r) for r in points.select("x", "y").limit(most + 1).collect()]

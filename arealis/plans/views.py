@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arealis.functions.calc import standardize
 from arealis.functions.stats import simple_regression, summary
 from arealis.operators import classify, explore, geometry, rates, regression, weights
-from arealis.plans.base import CUS, LAG, NAT, NY, PAR, VAL, WQ, query
+from arealis.plans.base import CUS, LAG, NAT, NY, PAR, SUP, VAL, WQ, query
 from arealis.plans.calculator import HINGES, RANKS, REG, _haz
 from arealis.streaming import events as streams
 
@@ -194,10 +194,16 @@ def _g05(t):
 
 @query("g06_thiessen", "n:i total:f", "", "SELECT count(*) AS n, 12.0 * 12.0 AS total FROM supplier")
 def _g06(t):
-    cells = geometry.thiessen(t.suppliers().where("y < 1000").withColumn("y", F.col("y") / F.lit(1.0)), (-1.0, -1.0, 11.0, 11.0))
+    cells = geometry.thiessen(t.suppliers(), (-1.0, -1.0, 11.0, 11.0))
     return cells.withColumns(geometry.area_perimeter()).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("total"))
 
 
+@query("g06_thiessen_extent", "n:i empty:i total:f", SUP, "SELECT count(*) AS n, 0 AS empty, (max(x) - min(x) + 2) * (max(y) - min(y) + 2) AS total FROM sup")
+def _g06_extent(t):
+    cells = geometry.thiessen(t.suppliers(), geometry.extent(t.suppliers(), 1.0))
+    return cells.withColumns(geometry.area_perimeter()).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("area") <= 0).alias("empty"), F.sum("area").alias("total"))
+
+
 @query("g07_add_centroids", "obs_id:i XCNTRD:f YCNTRD:f XMCTR:f YMCTR:f", NAT, "SELECT obs_id, x + 0.5 AS XCNTRD, y + 0.5 AS YCNTRD, x + 0.4 AS XMCTR, y + 0.4 AS YMCTR FROM nat")
 def _g07(t):
     return t.lattice().withColumns({k.upper(): v for k, v in (geometry.centroid() | geometry.mean_center()).items()})

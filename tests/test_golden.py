@@ -218,3 +218,11 @@ def test_natural_breaks_are_exact_on_many_values(spark):
         best = np.array([0.0] + [min(best[i] + q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i) for i in range(j)) for j in range(1, len(values) + 1)])
     got = classify.natural_breaks(frame(spark, [float(v) for v in values]), "v", 4).groupBy("cat").agg((F.var_pop("v") * F.count("v")).alias("w")).agg(F.sum("w")).first()[0]
     assert got == pytest.approx(best[-1], rel=1e-9)
+
+
+def test_thiessen_cells_outside_the_box_are_empty(spark):
+    points = spark.createDataFrame([(i, float(i % 10), float(i // 10)) for i in range(400)], "obs_id long, x double, y double")
+    got = geometry.thiessen(points, (-1.0, -1.0, 11.0, 11.0)).withColumns(geometry.area_perimeter()).agg(F.count("obs_id"), F.sum("area"), F.sum((F.col("area") == 0).cast("int"))).first()
+    assert got[0] == 400 and got[1] == pytest.approx(144) and got[2] > 200
+    whole = geometry.thiessen(points, geometry.extent(points, 1.0)).withColumns(geometry.area_perimeter()).agg(F.min("area"), F.sum("area")).first()
+    assert whole[0] > 0 and whole[1] == pytest.approx(11 * 41)
