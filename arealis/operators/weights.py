@@ -6,6 +6,8 @@ sees an equi-join; nearest neighbours search rings of cells that grow only for p
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,24 @@ def distance_band(points: DataFrame, threshold: float, degree: float = 1.0) -> D
     return near.select("src", "dst", (F.pow(apart, F.lit(degree)) if degree != 1 else apart).alias("w"))
 
 
+def _sphere(points: DataFrame) -> DataFrame:
+    """Degrees x (longitude) and y (latitude) with their unit vector ux, uy, uz."""
+    lon, lat = F.radians("x"), F.radians("y")
+    return points.select("obs_id", "x", "y", (F.cos(lat) * F.cos(lon)).alias("ux"), (F.cos(lat) * F.sin(lon)).alias("uy"), F.sin(lat).alias("uz"))
+
+
+def arc_band(points: DataFrame, miles: float) -> DataFrame:
+    """Pairs of degree points no more than `miles` apart on the great circle, weight miles: an equi-join on cells of unit vectors, then exact."""
+    chord = 2 * math.sin(min(miles / EARTH_MILES, math.pi) / 2)
+    size = max(chord * (1 + 1e-9), 1e-7)
+    own = _sphere(points).withColumns({f"c{a}": F.floor(F.col(f"u{a}") / size) for a in "xyz"})
+    span = F.sequence(F.lit(-1), F.lit(1))
+    wide = own.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).withColumn("dz", F.explode(span))
+    wide = wide.select(F.col("obs_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), *[(F.col(f"c{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in "xyz"])
+    near = wide.join(own.select(F.col("obs_id").alias("dst"), "x", "y", "cx", "cy", "cz"), ["cx", "cy", "cz"]).where("src <> dst")
+    return near.select("src", "dst", arc_miles(F.col("sx"), F.col("sy"), F.col("x"), F.col("y")).alias("w")).where(F.col("w") <= miles)
+
+
 def inverse_distance(band: DataFrame, degree: float = 1.0, row_norm: bool = False) -> DataFrame:
     """(d / smallest d)**-degree, rows scaled to unit length if asked."""
     out = band.crossJoin(F.broadcast(band.agg(F.min("w").alias("least")))).select("src", "dst", F.pow(F.col("w") / F.col("least"), F.lit(-degree)).alias("w"))

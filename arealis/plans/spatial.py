@@ -65,6 +65,7 @@ _w("w07_inverse_distance", lambda t: weights.inverse_distance(weights.distance_b
 _w("w08_knn", lambda t: weights.knn(t.customers(), 6), CUS, KNN.format("cus", 6), "src:i dst:i w:f")
 _w("w08_knn_irregular", lambda t: weights.knn(t.embedded(), 4), EMB, KNN.format("emb", 4), "src:i dst:i w:f")
 _w("w09_arc_distance", lambda t: t.suppliers().alias("a").crossJoin(F.broadcast(t.suppliers().where("obs_id < 3").alias("b"))).select(F.col("a.obs_id").alias("src"), F.col("b.obs_id").alias("dst"), weights.arc_miles(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")).alias("w")).where("src <> dst"), SUP, "SELECT a.obs_id AS src, b.obs_id AS dst, 3959.0 * acos(least(1.0, greatest(-1.0, sin(radians(a.y)) * sin(radians(b.y)) + cos(radians(a.y)) * cos(radians(b.y)) * cos(radians(a.x) - radians(b.x))))) AS w FROM sup a JOIN sup b ON b.obs_id < 3 AND a.obs_id <> b.obs_id", "src:i dst:i w:f")
+_w("w09_arc_band", lambda t: weights.arc_band(t.suppliers(), 150.0), f"{SUP}, arc AS (SELECT a.obs_id AS src, b.obs_id AS dst, 3959.0 * acos(least(1.0, greatest(-1.0, sin(radians(a.y)) * sin(radians(b.y)) + cos(radians(a.y)) * cos(radians(b.y)) * cos(radians(a.x) - radians(b.x))))) AS w FROM sup a JOIN sup b ON a.obs_id <> b.obs_id)", "SELECT * FROM arc WHERE w <= 150.0", "src:i dst:i w:f")
 _w("w10_min_threshold", lambda t: weights.min_threshold(t.embedded()), f"{EMB}, kn AS ({KNN.format('emb', 1)})", "SELECT max(w) AS min_threshold FROM kn", "min_threshold:f")
 _w("w11_max_distance", lambda t: weights.max_distance(t.embedded()), EMB, "SELECT sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) AS max_distance FROM emb", "max_distance:f")
 _w("w12_centroid_band", lambda t: weights.distance_band(t.lattice().select("obs_id", (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y")), 1.5), f"{NAT}, ctr AS (SELECT obs_id, x + 0.5 AS x, y + 0.5 AS y FROM nat)", BAND.format("ctr", 1.5), "src:i dst:i w:f")

@@ -226,3 +226,12 @@ def test_thiessen_cells_outside_the_box_are_empty(spark):
     assert got[0] == 400 and got[1] == pytest.approx(144) and got[2] > 200
     whole = geometry.thiessen(points, geometry.extent(points, 1.0)).withColumns(geometry.area_perimeter()).agg(F.min("area"), F.sum("area")).first()
     assert whole[0] > 0 and whole[1] == pytest.approx(11 * 41)
+
+
+def test_arc_band_over_dateline_and_pole(spark):
+    rng = np.random.default_rng(5)
+    at = [(float(a), float(b)) for a, b in zip(rng.uniform(-180, 180, 150), rng.uniform(-90, 90, 150), strict=True)] + [(179.5, 0.0), (-179.5, 0.0), (10.0, 89.5), (-170.0, 89.5), (10.0, 89.5)]
+    got = {(r.src, r.dst) for r in weights.arc_band(spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "obs_id long, x double, y double"), 400.0).collect()}
+    lon, lat = np.radians(at).T
+    d = 3959.0 * np.arccos(np.clip(np.sin(lat)[:, None] * np.sin(lat) + np.cos(lat)[:, None] * np.cos(lat) * np.cos(lon[:, None] - lon), -1, 1))
+    assert got == {(i, j) for i in range(len(at)) for j in range(len(at)) if i != j and d[i, j] <= 400} and {(150, 151), (152, 153), (152, 154)} <= got
