@@ -5,11 +5,12 @@ offsets, so a window can only occur twice if its anchor's gram does. Consecutive
 
 1. scan: each text gives its runs (gram hash, place, first window, number of windows);
 2. shared grams: those that stand in two places; texts with such runs are kept with their runs (`candidates`);
-3. segments: the units under a run. Equal segments of a batch are counted together before the one shuffle that carries them;
-4. segments of one gram meet in one task, sorted by gram, and are matched exactly there;
+3. segments: the units under a run, named by 128 bits. All windows of a segment with two places are repeated; that takes counts only;
+4. a segment of one place may share windows with other segments of its gram. Only of grams with such segments do bytes move, once
+   for each distinct segment; those of one gram meet in one task, sorted by gram, and are matched exactly there;
    grams with more than HOT of them are cut into pieces of fewer windows, whose common units make finer keys, and so on down to
    single windows, which are counted by 128 bits each;
-5. the answers go back to all places of a segment by a join that skew handling may split, and from there to texts.
+5. the answers go back to the texts that hold the segments.
 
 Copies of a text are one text here; whether a text has copies is known from counts.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.llm.common import map_rows, store, text_key, text_or_empty
+from arealis.llm.common import map_rows, release, store, text_key, text_or_empty
 
 #: Segments of one gram that one task may hold.
 HOT = 2000
@@ -182,34 +183,42 @@ def candidates(docs: DataFrame, runs: DataFrame, keys: DataFrame, label: str, te
     return store(kept.join(distinct, ["a", "b"]), label)
 
 
+def _named(segments: list[bytes]) -> dict[str, np.ndarray]:
+    """s1, s2: 128 bits for each segment."""
+    import xxhash
+
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in segments]), "<i8").reshape(-1, 2)
+    return {"s1": both[:, 0], "s2": both[:, 1]}
+
+
 def places(kept: DataFrame, unit: Unit) -> DataFrame:
-    """One row for each run of a kept text: a, b, key, first, s1, s2 (128 bits of its segment)."""
+    """One row for each run of a kept text: a, b, key, off (of the first window from the anchor), first, n, s1, s2 (128 bits of its segment)."""
 
     def rows(part: pa.RecordBatch) -> dict:
-        out: dict = {n: [] for n in ("a", "b", "key", "first", "segment")}
-        for a, b, data, runs in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("runs").to_pylist(), strict=True):
-            for r, s in zip(runs, unit.segments(data, runs), strict=True):
-                for n, v in (("a", a), ("b", b), ("key", r["key"]), ("first", r["first"]), ("segment", s)):
-                    out[n].append(v)
-        return out
+        lists = part.column("runs")
+        sizes, runs = np.diff(lists.offsets.to_numpy()), lists.flatten()
+        key, place, first, n = (runs.field(i) for i in range(4))
+        cut = [x for data, held in zip(_bytes(part), lists.to_pylist(), strict=True) for x in unit.segments(data, held)]
+        return {"a": np.repeat(part.column("a").to_numpy(), sizes), "b": np.repeat(part.column("b").to_numpy(), sizes), "key": key, "off": first.to_numpy() - place.to_numpy(), "first": first, "n": n, **_named(cut)}
+
+    return map_rows(kept.select("a", "b", "text", "runs"), "text", "a long, b long, key long, off int, first int, n int, s1 long, s2 long", rows)
+
 
-    cut = map_rows(kept.select("a", "b", "text", "runs"), "text", "a long, b long, key long, first int, segment binary", rows)
-    return cut.select("a", "b", "key", "first", *_segment_key())
+def _bytes(part: pa.RecordBatch) -> list[bytes]:
+    return part.column("text").cast(pa.binary()).to_pylist()
 
 
-def segments(kept: DataFrame, unit: Unit) -> DataFrame:
-    """The segments under the runs: key, s1, s2, off (of the first window from the anchor), segment, copies. Equal ones are counted together within each batch of texts."""
+def _cut(kept: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
+    """The units of the wanted segments (key, s1, s2, off, copies, at: a place of each): wanted's columns but at, and segment."""
 
     def rows(part: pa.RecordBatch) -> dict:
-        seen: dict[tuple[int, bytes, int], int] = {}
-        for data, runs in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("runs").to_pylist(), strict=True):
-            for r, s in zip(runs, unit.segments(data, runs), strict=True):
-                name = (r["key"], s, r["first"] - r["place"])
-                seen[name] = seen.get(name, 0) + 1
-        return {"key": [x[0] for x in seen], "segment": [x[1] for x in seen], "off": [x[2] for x in seen], "copies": list(seen.values())}
+        lists = part.column("runs")
+        cut = [x for data, held in zip(_bytes(part), lists.to_pylist(), strict=True) for x in unit.segments(data, held)]
+        found = lists.flatten()
+        return {n: found.field(i) for i, n in enumerate(("key", "s1", "s2", "off", "copies"))} | {"segment": pa.array(cut, pa.binary())}
 
-    cut = map_rows(kept.select("text", "runs"), "text", "key long, off int, segment binary, copies int", rows)
-    return cut.select("key", "off", "segment", "copies", *_segment_key())
+    held = wanted.groupBy("at.a", "at.b").agg(F.collect_list(F.struct("key", "s1", "s2", "off", "copies", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("runs"))
+    return map_rows(kept.select("a", "b", "text").join(held, ["a", "b"]).select("text", "runs"), "text", "key long, s1 long, s2 long, off int, copies int, segment binary", rows)
 
 
 def _segment_key():
@@ -218,8 +227,16 @@ def _segment_key():
 
 def repeated(kept: DataFrame, unit: Unit, match: Callable[[list[bytes], list[int]], list[np.ndarray]], block_bytes: int, label: str) -> DataFrame:
     """Per text (a, b): `spans`, the first starts of runs with the stretches of their windows that occur more than once."""
-    answers = _answers(segments(kept, unit), unit, match, block_bytes, label, [c for c in CHUNKS if c < unit.width])
-    return places(kept, unit).join(answers, ["key", "s1", "s2"]).groupBy("a", "b").agg(F.collect_list(F.struct("first", "found")).alias("spans"))
+    held = store(places(kept, unit), f"{label}-places")
+    at = F.struct("a", "b", "first", "n")
+    distinct = store(held.groupBy("key", "s1", "s2").agg(F.min("off").alias("off"), F.min(at).alias("at"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies")), f"{label}-segments")
+    mixed = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("copies").alias("least")).where("size > 1 and least = 1")
+    wanted = distinct.join(mixed.select("key", "size"), "key")
+    cut = store(_cut(kept, wanted, unit), f"{label}-cut")
+    answers = _answers(cut, unit, match, block_bytes, label, [c for c in CHUNKS if c < unit.width])
+    alone = distinct.where("copies = 1").join(answers, ["key", "s1", "s2"]).select("at.a", "at.b", "at.first", "found")
+    whole = held.join(distinct.where("copies > 1").select("key", "s1", "s2"), ["key", "s1", "s2"], "left_semi").select("a", "b", "first", F.array(F.lit(0), F.col("n") - 1).alias("found"))
+    return whole.unionByName(alone).groupBy("a", "b").agg(F.collect_list(F.struct("first", "found")).alias("spans"))
 
 
 def _answers(cut: DataFrame, unit: Unit, match: Callable, block_bytes: int, label: str, chunks: list[int]) -> DataFrame:
@@ -296,6 +313,8 @@ def _matched(calm: DataFrame, match: Callable, block_bytes: int) -> DataFrame:
                 size, last = size + len(row[3]), row[0]
         if held:
             yield answer(held)
+        held = []
+        release()
 
     parts = int(calm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return calm.select("key", "s1", "s2", "segment", "copies").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, ddl)

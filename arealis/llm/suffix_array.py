@@ -19,7 +19,7 @@ def smaller_type(text: np.ndarray) -> np.ndarray:
     """True where a suffix is less than the next one; the string ends in a unique least symbol."""
     n = len(text)
     differs = np.flatnonzero(text[:-1] != text[1:])
-    following = np.full(n, n - 1)
+    following = np.full(n, n - 1, "i4")
     following[differs] = differs
     following[:-1] = np.minimum.accumulate(following[:-1][::-1])[::-1]
     after = np.minimum(following + 1, n - 1)
@@ -162,9 +162,9 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.nda
     n = len(text)
     if n == 1:
         return np.zeros(1, "i4")
-    before = np.full(n, -1, "i8")
+    before = np.full(n, -1, "i4")
     before[order[1:]] = order[:-1]
-    here = np.arange(n)
+    here = np.arange(n, dtype="i4")
     kept = (before > 0) & (here > 0) & (text[here - 1] == text[before - 1]) & (before[here - 1] == before - 1)
     fresh = np.flatnonzero(~kept & (before >= 0))
     value = np.zeros(n, "i4")

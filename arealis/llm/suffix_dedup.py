@@ -22,13 +22,13 @@ from arealis.llm.common import store, text_key, text_or_empty
 from arealis.llm.suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of one shard's string, but for a group that is longer.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 
 
 def repeated_windows(segments: list[bytes], copies: list[int], width: int) -> list[np.ndarray]:
     """For each segment, which of its windows occur elsewhere in the shard."""
     sizes = np.array([len(s) for s in segments])
-    text = np.frombuffer(b"\0".join(segments) + b"\0\0", "u1").astype("i8") + 2  # 2 marks an end, 0 the end of all
+    text = np.frombuffer(b"\0".join(segments) + b"\0\0", "u1").astype("u2") + 2  # 2 marks an end, 0 the end of all
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     marks = starts + sizes
     text[marks] = 1
