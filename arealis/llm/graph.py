@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.llm.common import store
+from arealis.llm.common import drop, store
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,18 +13,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every label to its least neighbour, follows the hooks twice, and keeps the edges whose ends still
     differ. Rounds are stored, so a lost executor costs one of them; the number of edges left is all that comes to the driver.
+
+    Defined results: edges may repeat, in either direction; loops and edges with a null end are left out; no edges, no rows.
     """
     left = store(edges.select("x", "y").where("x <> y").distinct(), "cc-edges")
     labels = left.select(F.col("x").alias("node")).union(left.select("y")).distinct().withColumn("comp", F.col("node"))
+    old: list[DataFrame] = []
     while left.limit(1).count():
         both = left.union(left.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        hook = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("y"))
-        hook = store(hook, "cc-hooks")
+        hook = store(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("y")), "cc-hooks")
+        far = hook
         for _ in range(2):
-            far = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            hook = hook.join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
-        hook = store(hook, "cc-hooks")
-        labels = store(labels.join(hook.withColumnRenamed("x", "comp"), "comp", "left").select("node", F.coalesce("y", "comp").alias("comp")), "cc-labels")
-        ends = left.join(hook.select("x", F.col("y").alias("p")), "x").select("y", "p").join(hook.select(F.col("x").alias("y"), F.col("y").alias("q")), "y")
-        left = store(ends.where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "cc-edges")
+            far = far.join(hook.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+        labels = store(labels.join(far.withColumnRenamed("x", "comp"), "comp", "left").select("node", F.coalesce("y", "comp").alias("comp")), "cc-labels")
+        ends = left.join(far.select("x", F.col("y").alias("p")), "x").select("y", "p").join(far.select(F.col("x").alias("y"), F.col("y").alias("q")), "y")
+        last, left = left, store(ends.where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "cc-edges")
+        drop(last, hook, *old)
+        old = [labels]
     return labels
