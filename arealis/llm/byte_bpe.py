@@ -3,8 +3,9 @@
 Bytes stand as Latin-1 characters in a pyahocorasick trie, so that one prefix walk gives the longest
 vocabulary entry at a position. A greedy run takes longest matches and steps back to shorter ones when two
 adjacent tokens could not stand side by side after the merges. That test undoes merges on both sides of
-the boundary and is memoised by token pair. Each position is left at most once, so the time is linear in the
-length of a pre-token, and the tokens are those of merging by rank.
+the boundary and is memoised by token pair. Each position is left at most once, and a greedy run reaches no further
+than SPAN bytes and the longest entry, so the time is linear in the length of a pre-token, and the tokens are those
+of merging by rank.
 
 Defined results: null and empty texts have no tokens; equal texts have equal tokens; pre-tokens of any
 length are encoded whole. Columns of the input other than the id and the text are left alone.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from arealis.llm.common import map_rows, text_or_empty
 
 #: Entries of a generation of the memo of pre-tokens (the one before is kept), and of the memo of token pairs.
-MEMO = 300_000
+MEMO = 150_000
+#: Bytes of a pre-token that one greedy run covers.
+SPAN = 64
 
 
 class ByteBPE:
@@ -47,6 +50,7 @@ class ByteBPE:
         self.sizes = [len(p) for p in self.pieces]
         self.parts: dict[int, tuple[int, int]] = {}
         self.fits: dict[int, bool] = {}
+        self.longest = max(self.sizes, default=1)
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self._learn()
@@ -90,9 +94,16 @@ class ByteBPE:
             else:
                 bound, right = right + 1, outer
 
-    def _greedy(self, text: str) -> list[int]:
-        """Longest matches from left to right; every byte is an entry, so they cover the text."""
-        return [rank for _, rank in self.trie.iter_long(text)]
+    def _greedy(self, text: str, at: int) -> list[int]:
+        """Longest matches from a place on, for SPAN bytes at least; every byte is an entry, so they cover the text."""
+        if len(text) <= SPAN:
+            return [rank for _, rank in self.trie.iter_long(text[at:])]
+        out: list[int] = []
+        for end, rank in self.trie.iter_long(text[at : at + SPAN + self.longest]):
+            out.append(rank)
+            if end >= SPAN - 1:
+                break
+        return out
 
     def encode_piece(self, data: bytes) -> list[int]:
         """The tokens of one pre-token."""
@@ -102,7 +113,7 @@ class ByteBPE:
         text, sizes, shorter, known = data.decode("latin-1"), self.sizes, self.shorter, self.fits
         if len(known) >= MEMO:
             known.clear()
-        ahead = self._greedy(text)
+        ahead = self._greedy(text, 0)
         out: list[int] = []
         dead: set[int] = set()
         at, last, step, token, total = 0, -1, 0, ahead[0], len(data)
@@ -118,14 +129,13 @@ class ByteBPE:
                 out.append(token)
                 if end == total:
                     return out
+                longest = ahead[step] == token
                 at, last, step = end, token, step + 1
-                if ahead[step - 1] != token:  # not the longest: look ahead anew
-                    ahead, step = self._greedy(text[at:]), 0
+                if not longest or step == len(ahead):  # look ahead anew
+                    ahead, step = self._greedy(text, at), 0
                 token = ahead[step]
             elif (less := shorter[token]) >= 0:
                 token = less
-                if step:  # keep only what lies ahead, so that ahead[0] is the longest match at this place
-                    ahead, step = ahead[step:], 0
             else:
                 while less < 0:  # step back to a token that has a shorter one
                     dead.add(at)
@@ -160,8 +170,8 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE.load(path, pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, `ids` (the tokens), `decoded` (the bytes that these give back)."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
+    """Per row: id, `ids` (the tokens) and, unless left out, `decoded` (the bytes that these give back)."""
 
     def rows(part: pa.RecordBatch) -> dict:
         bpe = coder(path, pattern)
@@ -169,10 +179,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         ids = [np.frombuffer(p, "<u4") for p in packed]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
         flat = np.concatenate(ids).astype("i4") if ids else np.empty(0, "i4")
-        return {"id": part.column("id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "decoded": [bpe.decode(x.tolist()) for x in ids]}
+        out = {"id": part.column("id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
+        return out | {"decoded": [bpe.decode(x.tolist()) for x in ids]} if decoded else out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "text", f"id {kind}, ids array<int>, decoded binary", rows).withColumnRenamed("id", id_col)
+    return map_rows(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "text", f"id {kind}, ids array<int>" + ", decoded binary" * decoded, rows).withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

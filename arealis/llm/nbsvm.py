@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from arealis.llm.common import map_rows, text_or_empty
+from arealis.llm.common import map_rows, release, text_or_empty
 
 BITS = 18
 #: Byte n-gram lengths and the lengths of repetition n-grams.
@@ -95,7 +96,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> Mode
     for x, s in zip(rows, y, strict=True):
         counts[int(s)][x] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
-    values = [ratio[x] / (np.linalg.norm(ratio[x]) or 1.0) for x in rows]
+    values = [(ratio[x] / (np.linalg.norm(ratio[x]) or 1.0)).astype("f4") for x in rows]
     part = np.flatnonzero(kept)
     w = descend([rows[i] for i in part], [values[i] for i in part], y[part], size)
     model = Model((ratio * w[:-1]).astype("f4"), (ratio * ratio).astype("f4"), float(w[-1]))
@@ -133,22 +134,27 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = map_rows(texts, "text", f"key {kind}, y int, places binary", rows).toArrow().sort_by([("key", "ascending"), ("y", "ascending")])
-    return fit([np.frombuffer(p, "i4") for p in found.column("places").to_pylist()], np.array(found.column("y").to_pylist()))
+    y, places = np.array(found.column("y").to_pylist()), found.column("places")
+    found = None
+    model = fit([np.frombuffer(p.as_buffer(), "i4") for p in places], y)
+    places = None
+    release()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", train_docs: DataFrame | None = None) -> DataFrame:
     """Every row of docs with held_out, score and predicted beside its own columns (theirs give way if the names clash)."""
     model = train(docs if train_docs is None else train_docs, labels, label_col, train_rows, id_col, text_col)
-    base = docs.drop("held_out", "score", "predicted")
+    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")))
+    fields = base.schema.fields
+    inner = [f"own_{i}" for i in range(len(fields))]
 
     def run(batches):
         for batch in batches:
-            column = batch.column("arealis_text")
-            scores = [model.score(indicators(t.as_py() or "")) for t in column]
-            arrays = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "arealis_text"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores, "f8")], schema=pa.schema([*(f for f in batch.schema if f.name != "arealis_text"), pa.field("score", pa.float64())]))
-
-    from pyspark.sql import types as T
+            scores = [model.score(indicators(t.as_py() or "")) for t in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in inner), pa.array(scores, "f8")], names=[*inner, "score"])
+        release()
 
-    scored = base.withColumn("arealis_text", text_or_empty(text_col)).mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
-    return scored.withColumn("held_out", held_out(id_col)).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    shown = base.toDF(*inner)
+    out = shown.withColumn("body", text_or_empty(inner[base.columns.index(text_col)])).mapInArrow(run, T.StructType([*shown.schema.fields, T.StructField("score", T.DoubleType())]))
+    return out.select(*(F.col(n).alias(f.name) for n, f in zip(inner, fields, strict=True)), held_out(inner[base.columns.index(id_col)]).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -198,26 +198,114 @@ def test_quality(spark, docs, nothing):
     assert nbsvm.classify(nothing, labels).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """Planted cases for the pipeline, with edge rows and columns whose names the stages use inside."""
     good = [_prose(80) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(good)] + [(100, good[0]), (101, " ".join(["x", *good[1].split()[1:]])), (102, _prose(40) + " " + PASSAGE), (103, PASSAGE + " " + _prose(45)), (104, ITEM + " " + _prose(10))] + [(200 + i, _prose(30).upper() + "!!") for i in range(60)]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    base = f"file://{tmp_path}"
+    rows += [(70, good[5]), (None, good[6]), (None, _prose(70)), (71, good[7]), (71, good[7]), (72, _prose(30_000))]
+    extra = {"score": 77.0, "predicted": 5, "a": "1", "b": "2", "left_over": "l", "own_1": "o", "arealis_text": "z", "key_a": 1, "kept": "k", "s1": 1, "n": 2, "comp": "c"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, a string, b string, left_over string, own_1 string, arealis_text string, key_a int, kept string, s1 int, n int, comp string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *extra.values()) for i, t in rows], schema)
+    base = f"file://{tmp_path_factory.mktemp('corpus')}"
     docs.write.parquet(f"{base}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 200)) for i, _ in rows], "doc_id long, quality int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(i, int(i < 200)) for i, _ in rows if i is not None], "doc_id long, quality int").write.parquet(f"{base}/labels.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
-    left = {}
-    now = spark.read.parquet(f"{base}/documents.parquet")
+    return base, rows, good, extra
+
+
+def _stages(spark, now, base, out):
+    pipeline = pytest.importorskip("corpus_pipeline")
     for name, stage in pipeline.STAGES:
-        out = stage(spark, now, base)
-        out.write.parquet(f"{base}/{name}")
-        now = spark.read.parquet(f"{base}/{name}")
-        left[name] = {r.doc_id for r in now.collect()}
-        assert name == "tokens" or now.columns == docs.columns
-    assert left["quality"] == {i for i, _ in rows if i < 200}
-    assert left["quality"] - left["near_duplicates"] == {100, 101}
+        before = now
+        stage(spark, now, base).write.parquet(f"{out}/{name}")
+        now = spark.read.parquet(f"{out}/{name}")
+        yield name, before, now
+
+
+def test_pipeline_stages(spark, corpus, tmp_path):
+    base, rows, good, extra = corpus
+    left, texts = {}, {}
+    for name, before, now in _stages(spark, spark.read.parquet(f"{base}/documents.parquet"), base, f"file://{tmp_path}"):
+        left[name] = Counter(r.doc_id for r in now.collect())
+        if name == "tokens":
+            assert now.columns == ["doc_id", "n_tokens", "ids"]
+            continue
+        assert now.columns == before.columns and now.where(" and ".join(f"`{k}` = '{v}'" for k, v in extra.items())).count() == now.count()
+        texts[name] = [(r.doc_id, r.text) for r in now.collect()]
+    assert left["quality"] == Counter(i for i, _ in rows if i is None or i < 200)
+    assert left["quality"] - left["near_duplicates"] == Counter({100: 1, 101: 1, 70: 1, None: 1, 71: 2}) and left["near_duplicates"][7] == 1
     assert left["near_duplicates"] == left["substrings"]
-    kept = {r.doc_id: r.text for r in spark.read.parquet(f"{base}/substrings").collect()}
+    kept = dict(texts["substrings"])
     assert PASSAGE not in kept[102] and len(kept[102].split()) == 40 and kept[5] == good[5]
-    assert left["substrings"] - left["decontaminate"] == {104} and left["tokens"] == left["decontaminate"]
+    before = sorted(texts["near_duplicates"], key=str)
+    want = {}
+    for (i, t), (_, gone, digest) in zip(before, _dedup([t.encode().split() for _, t in before], 35, b" ".join), strict=True):
+        want[i] = digest if gone else hashlib.sha256(t.encode()).hexdigest()
+    assert want == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts["substrings"]}
+    assert left["substrings"] - left["decontaminate"] == Counter({104: 1}) and left["tokens"] == left["decontaminate"]
+
+
+def test_pipeline_edges(spark, corpus, tmp_path):
+    base = corpus[0]
+    schema = "text string, extra string, doc_id long"
+    edges = [(None, "n", 1), ("", "e", 2), ("  ", "s", 2), (None, "n", None), ("", "x", None)]
+    for k, rows in enumerate(([], edges)):
+        docs = spark.createDataFrame(rows, schema)
+        pipeline = pytest.importorskip("corpus_pipeline")
+        for _name, stage in pipeline.STAGES[1:]:
+            out = stage(spark, docs, base)
+            assert Counter(r.doc_id for r in out.collect()) == Counter(r[2] for r in rows)
+        assert pipeline.quality(spark, docs, base).columns == docs.columns and k < 2
+
+
+def test_jaccard_chain_and_groups(spark):
+    """Chains whose ends don't link, a group of near copies over one chunk, and sentences drawn from one pool, against all pairs."""
+    rng = random.Random(5)
+    chain, texts = [_prose(1) + str(i) for i in range(60)], []
+    for k in range(12):
+        texts.append(" ".join(chain[k : k + 45]))
+    base = _prose(60).split()
+    for _ in range(330):
+        t = list(base)
+        for _ in range(rng.randint(1, 3)):
+            t[rng.randrange(60)] = "e%d" % rng.randrange(10**6)
+        texts.append(" ".join(t))
+    pool = [_prose(9) for _ in range(25)]
+    texts += [" ".join(rng.sample(pool, 8)) for _ in range(60)] + ["a b", "a  B", "c", " ", None]
+    sets = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    comp = list(range(len(sets)))
+    changed = True
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(comp[i], comp[j])
+            changed |= comp[i] != low or comp[j] != low
+            comp[i] = comp[j] = low
+    got = by_id(ngram_jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).select("doc_id", "n_shingles", "component_id"))
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp, strict=True))}
+    assert len(set(comp[12:342])) > 5
+
+
+def test_index_reopened(spark):
+    """A later session opens the index; copies and shared passages across batches count, and it agrees with one pass over all."""
+    from arealis.llm import anchors
+
+    texts = [t or "" for t in TEXTS[:11]]
+    old = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 2 == 0], "doc_id long, text string")
+    new = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 2] + [(50, BASE)], "doc_id long, text string")
+    index = window_index.FingerprintIndex(spark, anchors.Unit(True, 35, 6))
+    index.ingest(old)
+    for name in index.state["grams"]:
+        spark.sql(f"DROP TABLE {name}")
+    again = window_index.FingerprintIndex.open(spark, index.path)
+    got = Counter(tuple(r) for r in window_index.digests(window_index.append(again, new, old)).collect())
+    want = Counter(tuple(r) for r in window_index.digests(window_index.dedup(old.unionAll(new))).join(new.select("doc_id").distinct(), "doc_id").collect())
+    assert got == want and any(r[2] for r in got)
+    again.compact()
+    last = window_index.FingerprintIndex.open(spark, index.path)
+    assert len(last.state["grams"]) == 1 and last.keys().count() == again.keys().count() > 0
