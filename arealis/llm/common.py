@@ -42,6 +42,8 @@ def store(df: DataFrame, label: str, even: bool = False, **options: str) -> Data
     save(df.hint("rebalance") if even else df, path, **options)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if Scratch._open:
+        Scratch._open[-1].tables.append(out)
     return out
 
 
@@ -73,6 +75,33 @@ def drop(*tables: DataFrame) -> None:
         discard(df.sparkSession, df.stored_at)
 
 
+class Scratch:
+    """Tables that are stored inside a `with` block go at its end, but for those that `keep` names. Results that are still to be computed may only read these."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.stored_at)
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        Scratch._open.remove(self)
+        for df in self.tables:
+            if df.stored_at in self.kept:
+                if Scratch._open:
+                    Scratch._open[-1].tables.append(df)
+            else:
+                drop(df)
+
+
 def store_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

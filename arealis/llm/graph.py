@@ -17,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     Defined results: edges may repeat, in either direction; loops and edges with a null end are left out; no edges, no rows.
     """
     left = store(edges.select("x", "y").where("x <> y").distinct(), "cc-edges")
-    labels = left.select(F.col("x").alias("node")).union(left.select("y")).distinct().withColumn("comp", F.col("node"))
-    old: list[DataFrame] = []
+    labels = store(left.select(F.col("x").alias("node")).union(left.select("y")).distinct().withColumn("comp", F.col("node")), "cc-labels")
+    old = labels
     while left.limit(1).count():
         both = left.union(left.select(F.col("y").alias("x"), F.col("x").alias("y")))
         hook = store(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("y")), "cc-hooks")
@@ -28,6 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = store(labels.join(far.withColumnRenamed("x", "comp"), "comp", "left").select("node", F.coalesce("y", "comp").alias("comp")), "cc-labels")
         ends = left.join(far.select("x", F.col("y").alias("p")), "x").select("y", "p").join(far.select(F.col("x").alias("y"), F.col("y").alias("q")), "y")
         last, left = left, store(ends.where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "cc-edges")
-        drop(last, hook, *old)
-        old = [labels]
+        drop(last, hook, old)
+        old = labels
     return labels

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from arealis.llm.anchors import gram_hashes, keyed, mix, word_spans
-from arealis.llm.common import map_rows, release, slices, store, text_key, text_or_empty
+from arealis.llm.common import Scratch, map_rows, release, slices, store, text_key, text_or_empty
 from arealis.llm.graph import components
 
 #: Most holders of a token that is an entry of its own.
@@ -442,8 +442,8 @@ def _in_blocks(apart: DataFrame, codes: DataFrame, share: int) -> DataFrame:
     return blocks.repartition(parts, "entry", "i", "j").sortWithinPartitions("entry", "i", "j").select("entry", "i", "j", "s1", "n", "comp", "side", "codes").mapInArrow(run, ddl).distinct()
 
 
-def links(held: DataFrame, codes: DataFrame, texts: DataFrame, share: int, words: int) -> tuple[DataFrame, DataFrame | None]:
-    """Edges that join all linked sets (not every link), and the components they make."""
+def links(held: DataFrame, codes: DataFrame, texts: DataFrame, share: int, words: int) -> DataFrame:
+    """The components (node, comp) that links make; edges join all linked sets, and are not every link."""
     tested, edges, labels = None, None, None
     for step in ("one", "star", "last", "rest"):
         held = apart = store(_apart(held, labels), "jaccard-apart")  # entries within one component stay so
@@ -469,7 +469,7 @@ def links(held: DataFrame, codes: DataFrame, texts: DataFrame, share: int, words
         tested = pairs if tested is None else tested.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
         labels = components(edges)
-    return edges, labels
+    return labels
 
 
 def join(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -483,46 +483,46 @@ def join(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id
 
 def groups(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, a, b (the text's key), s1, s2 (the set's key), n (its size) and comp, the same number for all rows that links join."""
-    border = np.uint64(FIRST << 56)
-    dealing = _dealing(docs)
-    kind = docs.schema[id_col].dataType
-    a, b = text_key(text_or_empty(text_col))
-
-    def first_sets(part: pa.RecordBatch) -> list[tuple]:
-        out = []
-        for name, x, y, t in zip(*(part.column(c).to_pylist() for c in ("id", "a", "b")), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            tokens = tokens_of(t, words)
-            (s1, s2), first = set_key(tokens), tokens[: np.searchsorted(tokens, border)].copy()
-            out.append((s1, first, 0, (s1, name, x, y, s2, len(tokens), len(first))))
-        return out
-
-    heads = T.StructType([T.StructField("s1", T.LongType()), T.StructField("id", kind), *T.StructType.fromDDL("a long, b long, s2 long, n int, first int").fields])
-    base = docs.select(F.col(id_col).alias("id"), a.alias("a"), b.alias("b"), text_or_empty(text_col).alias("text"))
-    both = store(shared_tokens(_blocks(base, "text", first_sets, dealing, heads), dealing, heads), "jaccard-shared", even=True)
-    head = both.where("code is null").drop("code", "pos")
-    nodes = head.where("n > 0").groupBy("s1").agg(F.min(F.struct("a", "b")).alias("t"), F.max("n").alias("n"), F.max("first").alias("first")).select("s1", "n", "first", "t.a", "t.b")
-    shared = both.where("code is not null")
-    lists = shared.groupBy("s1").agg(F.collect_set(F.struct("pos", "code")).alias("tokens"))
-    spare = F.expr(f"n - ceil({share} * n / 100)")
-    listed = nodes.join(lists, "s1", "left").withColumn("tokens", F.coalesce("tokens", F.expr("cast(array() as array<struct<pos:int,code:bigint>>)")))
-    listed = listed.where(F.col("first") - F.size("tokens") <= spare).withColumn("lacks", F.col("first") - F.expr("size(filter(tokens, t -> t.code % 2 = 1))") <= spare)
-    listed = store(listed.where("lacks or exists(tokens, t -> t.code % 2 = 0)").drop("lacks"), "jaccard-tokens")
-
-    keys = listed.select("s1", "first", "a", "b")
-    keys = F.broadcast(keys) if keys.count() <= FEW else keys
-    texts = store(keyed(docs, text_col).join(keys, ["a", "b"]).dropDuplicates(["s1"]).select("s1", "first", "text"), "jaccard-texts", compression="zstd")
-
-    def rest_sets(part: pa.RecordBatch) -> list[tuple]:
-        firsts = part.column("first").to_pylist()
-        found = zip(part.column("s1").to_pylist(), firsts, part.column("text").cast(pa.binary()).to_pylist(), strict=True)
-        return [(s1, tokens_of(t, words)[first:], first, None) for s1, first, t in found]
-
-    more = shared_tokens(_blocks(texts, "text", rest_sets, dealing), dealing).groupBy("s1").agg(F.collect_set(F.struct("pos", "code")).alias("more"))
-    full = listed.join(more, "s1", "left").withColumn("tokens", F.expr("concat(tokens, coalesce(more, array()))"))
-    full = store(full.where(F.size("tokens") >= F.col("n") - spare).select("s1", "n", "tokens"), "jaccard-full")
-    held = store(distinct_entries(store(_entered(full, share), "jaccard-entries", even=True)), "jaccard-held")
-    codes = full.select("s1", "n", F.array_sort(F.transform("tokens", lambda t: t["code"])).alias("codes"))
-    _, labels = links(held, codes, texts.select("s1", "text"), share, words)
-
+    with Scratch() as scratch:
+        border = np.uint64(FIRST << 56)
+        dealing = _dealing(docs)
+        kind = docs.schema[id_col].dataType
+        a, b = text_key(text_or_empty(text_col))
+
+        def first_sets(part: pa.RecordBatch) -> list[tuple]:
+            out = []
+            for name, x, y, t in zip(*(part.column(c).to_pylist() for c in ("id", "a", "b")), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                tokens = tokens_of(t, words)
+                (s1, s2), first = set_key(tokens), tokens[: np.searchsorted(tokens, border)].copy()
+                out.append((s1, first, 0, (s1, name, x, y, s2, len(tokens), len(first))))
+            return out
+
+        heads = T.StructType([T.StructField("s1", T.LongType()), T.StructField("id", kind), *T.StructType.fromDDL("a long, b long, s2 long, n int, first int").fields])
+        base = docs.select(F.col(id_col).alias("id"), a.alias("a"), b.alias("b"), text_or_empty(text_col).alias("text"))
+        both = scratch.keep(store(shared_tokens(_blocks(base, "text", first_sets, dealing, heads), dealing, heads), "jaccard-shared", even=True))
+        head = both.where("code is null").drop("code", "pos")
+        nodes = head.where("n > 0").groupBy("s1").agg(F.min(F.struct("a", "b")).alias("t"), F.max("n").alias("n"), F.max("first").alias("first")).select("s1", "n", "first", "t.a", "t.b")
+        shared = both.where("code is not null")
+        lists = shared.groupBy("s1").agg(F.collect_set(F.struct("pos", "code")).alias("tokens"))
+        spare = F.expr(f"n - ceil({share} * n / 100)")
+        listed = nodes.join(lists, "s1", "left").withColumn("tokens", F.coalesce("tokens", F.expr("cast(array() as array<struct<pos:int,code:bigint>>)")))
+        listed = listed.where(F.col("first") - F.size("tokens") <= spare).withColumn("lacks", F.col("first") - F.expr("size(filter(tokens, t -> t.code % 2 = 1))") <= spare)
+        listed = store(listed.where("lacks or exists(tokens, t -> t.code % 2 = 0)").drop("lacks"), "jaccard-tokens")
+
+        keys = listed.select("s1", "first", "a", "b")
+        keys = F.broadcast(keys) if keys.count() <= FEW else keys
+        texts = store(keyed(docs, text_col).join(keys, ["a", "b"]).dropDuplicates(["s1"]).select("s1", "first", "text"), "jaccard-texts", compression="zstd")
+
+        def rest_sets(part: pa.RecordBatch) -> list[tuple]:
+            firsts = part.column("first").to_pylist()
+            found = zip(part.column("s1").to_pylist(), firsts, part.column("text").cast(pa.binary()).to_pylist(), strict=True)
+            return [(s1, tokens_of(t, words)[first:], first, None) for s1, first, t in found]
+
+        more = shared_tokens(_blocks(texts, "text", rest_sets, dealing), dealing).groupBy("s1").agg(F.collect_set(F.struct("pos", "code")).alias("more"))
+        full = listed.join(more, "s1", "left").withColumn("tokens", F.expr("concat(tokens, coalesce(more, array()))"))
+        full = store(full.where(F.size("tokens") >= F.col("n") - spare).select("s1", "n", "tokens"), "jaccard-full")
+        held = store(distinct_entries(store(_entered(full, share), "jaccard-entries", even=True)), "jaccard-held")
+        codes = full.select("s1", "n", F.array_sort(F.transform("tokens", lambda t: t["code"])).alias("codes"))
+        labels = scratch.keep(links(held, codes, texts.select("s1", "text"), share, words))
     return head.drop("first").join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
 

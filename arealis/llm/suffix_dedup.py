@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.llm import anchors
-from arealis.llm.common import store, text_key, text_or_empty
+from arealis.llm.common import Scratch, store, text_key, text_or_empty
 from arealis.llm.suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of one shard's string, but for a group that is longer.
@@ -44,10 +44,11 @@ def repeated_windows(segments: list[bytes], copies: list[int], width: int) -> li
 def dedup(docs: DataFrame, width: int = 400, gram: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, a, b (the text's key), n_bytes, n_removed, n_spans, kept (null where nothing is removed)."""
     unit = anchors.Unit(False, width, gram)
-    runs = store(anchors.scan(docs, unit, text_col), "suffix-runs")
-    kept = anchors.candidates(docs, runs, anchors.shared_keys(runs), "suffix-texts", text_col)
-    spans = anchors.repeated(kept, unit, lambda s, c: repeated_windows(s, c, width), SHARD_BYTES, "suffix")
-    changed = anchors.removal(kept, spans, unit)
+    with Scratch() as scratch:
+        runs = store(anchors.scan(docs, unit, text_col), "suffix-runs")
+        kept = anchors.candidates(docs, runs, anchors.shared_keys(runs), "suffix-texts", text_col)
+        spans = anchors.repeated(kept, unit, lambda s, c: repeated_windows(s, c, width), SHARD_BYTES, "suffix")
+        changed = scratch.keep(store(anchors.removal(kept, spans, unit), "suffix-removed", compression="zstd"))
     text = text_or_empty(text_col)
     a, b = text_key(text)
     rows = docs.select(F.col(id_col), a.alias("a"), b.alias("b"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha256"))

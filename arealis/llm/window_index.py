@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealis.llm import anchors
-from arealis.llm.common import PLAIN, discard, file_system, save, store_path, text_key, text_or_empty
+from arealis.llm.common import PLAIN, Scratch, discard, file_system, save, store, store_path, text_key, text_or_empty
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4 << 20
@@ -105,6 +105,14 @@ class FingerprintIndex:
         """The keys of all texts with their copies: a, b, copies."""
         return self._read(TEXTS, [f"texts_{b}" for b in self.state["batches"]]).groupBy("a", "b").agg(F.sum("copies").alias("copies"))
 
+    def forget(self) -> None:
+        """Delete the grams and places of an index that takes no more batches; the keys of its texts stay."""
+        for name in self.state["grams"]:
+            self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, *(f"{self.path}/{n}" for n in (*self.state["grams"], *self.state["noted"], *(f"places_{b}" for b in self.state["batches"]))))
+        self.state = {"grams": [], "batches": self.state["batches"], "noted": []}
+        self._commit()
+
     def _read(self, schema: str, names: list[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
 
@@ -141,7 +149,9 @@ def dedup(docs: DataFrame, width: int = 35, gram: int = 6, batches: int = 2, id_
     for k in range(batches):
         index.ingest(docs.where(F.pmod(F.xxhash64(F.lit(11), text_or_empty(text_col)), F.lit(batches)) == k), text_col)
     index.compact()
-    return _decided(docs, docs, index, id_col, text_col)
+    out = _decided(docs, docs, index, id_col, text_col)
+    index.forget()
+    return out
 
 
 def append(index: FingerprintIndex, docs: DataFrame, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,9 +162,10 @@ def append(index: FingerprintIndex, docs: DataFrame, history: DataFrame, id_col:
 
 def _decided(docs: DataFrame, corpus: DataFrame, index: FingerprintIndex, id_col: str, text_col: str) -> DataFrame:
     unit = index.unit
-    kept = anchors.candidates(corpus, index.places(), index.keys(), "fingerprint-texts", text_col)
-    spans = anchors.repeated(kept, unit, lambda s, c: repeated_windows(s, c, unit.width), BLOCK_BYTES, "fingerprint")
-    changed = anchors.removal(kept, spans, unit)
+    with Scratch() as scratch:
+        kept = anchors.candidates(corpus, index.places(), index.keys(), "fingerprint-texts", text_col)
+        spans = anchors.repeated(kept, unit, lambda s, c: repeated_windows(s, c, unit.width), BLOCK_BYTES, "fingerprint")
+        changed = scratch.keep(store(anchors.removal(kept, spans, unit), "fingerprint-removed", compression="zstd"))
     text = text_or_empty(text_col)
     a, b = text_key(text)
     rows = docs.select(F.col(id_col), a.alias("a"), b.alias("b"), F.size(words_of(text)).cast("long").alias("n_words"), F.sha2(F.array_join(words_of(text), " "), 256).alias("whole_sha256"))
