@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.llm import byte_bpe, decontam, license_scan, matroska, nbsvm, ngram_jaccard, orc_tokens, suffix_dedup, token_counts, window_index
+from arealis.llm import byte_bpe, decontam, license_scan, matroska, nbsvm, ngram_jaccard, oracles, orc_tokens, suffix_dedup, token_counts, window_index
 from arealis.llm.common import table
 
 
@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
