@@ -1,7 +1,9 @@
 """Order statistics without a one-task sort.
 
-A global rank needs no unpartitioned window: values are dealt into ranges between approximate quantiles, the counts of
-the ranges (a few hundred rows at most) are added up, and rows are ranked within their range. With `by` the window is already partitioned.
+A global rank needs no unpartitioned window: values are dealt into ranges between approximate quantiles (of numbers) or between
+members of a sample (of strings), the counts of the ranges are added up, and rows are ranked within their range. A range that holds
+one value only, such as a value that most rows have, is dealt again by ranges of the tie column. With `by` the window
+is already partitioned.
 """
 
 from __future__ import annotations
@@ -9,25 +11,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Least number of ranges of a column, and the most.
+RANGES, MOST_RANGES = 64, 1024
+SAMPLE = 8
+
+
+def _cuts(df: DataFrame, column: str, ranges: int) -> DataFrame:
+    """One row: the places where the ranges of a column meet, in order; at most `ranges` of them."""
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    if dict(df.dtypes)[column] == "string":
+        drawn = known.orderBy(F.xxhash64("v"), "v").limit(SAMPLE * ranges).agg(F.sort_array(F.collect_list("v")).alias("c"))
+        return drawn.select(F.filter("c", lambda _, i: i % SAMPLE == SAMPLE - 1).alias("_cuts"))
+    return known.agg(F.coalesce(F.percentile_approx(F.col("v").cast("double"), [k / ranges for k in range(1, ranges)], 10 * ranges), F.expr("cast(array() as array<double>)")).alias("_cuts"))
+
+
+def _ranged(df: DataFrame, column: str, out: str, ranges: int) -> DataFrame:
+    """Add the number of a row's range, -1 for NULL."""
+    value = F.col(column) if dict(df.dtypes)[column] == "string" else F.col(column).cast("double")
+    over = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < value))
+    return df.crossJoin(F.broadcast(_cuts(df, column, ranges))).withColumn(out, F.when(F.col(column).isNull(), F.lit(-1)).otherwise(over)).drop("_cuts")
+
+
 def ranked(df: DataFrame, value: str, out: str, by: list[str] | None = None, ties: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """Add the 1-based rank of `value` (then of `ties`); NULLs come first."""
-    order = [F.col(c).desc() if descending else F.col(c).asc() for c in dict.fromkeys([value, *(ties or [])])]
+    """Add the 1-based rank (a long) of `value` (then of `ties`); NULLs come first, last if descending."""
+    columns = list(dict.fromkeys([value, *(ties or [])]))
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
     if by:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    # Ranges must follow the same order as the values: a hash's first hex digits or a number's approximate quantiles.
-    kind = dict(df.dtypes)[value]
-    if kind == "string":
-        df = df.withColumn("_bin", F.coalesce(F.substring(value, 1, 2), F.lit("")))
-        step = F.col("_bin").desc() if descending else F.col("_bin").asc()
-    else:
-        cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [k / 64 for k in range(1, 64)], 1000).alias("_cuts"))
-        over = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(value).cast("double")))
-        df = df.crossJoin(F.broadcast(cuts)).withColumn("_bin", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(over)).drop("_cuts")
-        step = F.col("_bin").desc() if descending else F.col("_bin").asc()
-    sizes = df.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))  # bounded by the number of ranges
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_bin").orderBy(*order))
-    return df.join(F.broadcast(offsets), "_bin").withColumn(out, (within + F.col("_before")).cast("int")).drop("_bin", "_before")
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    ranges = min(MOST_RANGES, max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    second = columns[1] if len(columns) > 1 else value
+    binned = _ranged(_ranged(df, value, "_bin", ranges), second, "_tie", RANGES) if second != value else _ranged(df, value, "_bin", ranges).withColumn("_tie", F.lit(0))
+    sizes = binned.groupBy("_bin", "_tie").agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # bounded by the ranges of both columns
+    same = Window.partitionBy("_bin")
+    sizes = sizes.withColumn("_part", F.when(F.coalesce(F.min("_lo").over(same) == F.max("_hi").over(same), F.lit(True)), F.col("_tie")).otherwise(0))
+    step = [F.col(c).desc() if descending else F.col(c).asc() for c in ("_bin", "_part")]
+    offsets = sizes.groupBy("_bin", "_part").agg(F.sum("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*step).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    places = sizes.select("_bin", "_tie", "_part").join(offsets, ["_bin", "_part"])
+    within = F.row_number().over(Window.partitionBy("_bin", "_part").orderBy(*order))
+    return binned.join(F.broadcast(places), ["_bin", "_tie"]).withColumn(out, within.cast("long") + F.col("_before")).drop("_bin", "_tie", "_part", "_before")
 
 
 def _positions(df: DataFrame, x: str, by: list[str], key: str) -> DataFrame:
