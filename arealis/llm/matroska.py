@@ -36,7 +36,7 @@ MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367, SEGMENT, EBML}
 
 NO_LACE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
-RATE, FRAME, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER, UNIT = 8000, 1024, 8, 16, 64
+RATE, FRAME, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER, UNIT = 8000, 1024, 8, 3, 64
 
 
 def vint(value: int, width: int = 0) -> bytes:
@@ -77,14 +77,14 @@ def simple_block(track: int, relative: int, frames: list[bytes], kind: int) -> b
 
 
 def mux(samples: bytes) -> bytes:
-    """One track of 8-bit PCM in laced blocks, a cluster for each 16 blocks, and a cue for each cluster."""
+    """One track of 8-bit PCM in laced blocks, a cluster for each BLOCKS_A_CLUSTER blocks, and a cue for each cluster."""
     head = element(EBML, number(EBML_VERSION, 1) + number(EBML_READ_VERSION, 1) + number(EBML_MAX_ID, 4) + number(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_TYPE_VERSION, 4) + number(DOC_TYPE_READ_VERSION, 2))
     scale = 1_000_000_000 // RATE  # one tick is one sample
     info = element(INFO, number(TIMESTAMP_SCALE, scale) + element(DURATION, struct.pack(">d", len(samples))) + element(MUXING_APP, b"arealis") + element(WRITING_APP, b"arealis"))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
     tracks = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(FLAG_LACING, 1) + number(DEFAULT_DURATION, FRAME * scale) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     body, cues, at = [info, tracks], [], len(info) + len(tracks)
-    span, block = FRAME * FRAMES_A_BLOCK * 3, FRAME * FRAMES_A_BLOCK  # 3 blocks keep relative timestamps within 16 bits
+    span, block = FRAME * FRAMES_A_BLOCK * BLOCKS_A_CLUSTER, FRAME * FRAMES_A_BLOCK  # few blocks keep relative timestamps within 16 bits
     for start in range(0, len(samples), span):
         blocks = []
         for s in range(start, min(start + span, len(samples)), block):
