@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.functions.calc import seed_rank, standardize
 from arealis.functions.stats import normal_tail
+from arealis.operators.cut import cut
+from arealis.operators.permute import conditional_p
+from arealis.operators.rank import hashed_rank, ranked
 
 
 def lag(df: DataFrame, w: DataFrame, key: str, x: str, out: str, by: list[str] | None = None) -> DataFrame:
@@ -53,13 +54,15 @@ def scatter(df: DataFrame, w: DataFrame, key: str, x: str, y: str | None = None,
 
 
 def permuted_moran(df: DataFrame, w: DataFrame, key: str, x: str, permutations: int, seed: int = 42) -> DataFrame:
-    """(perm, moran) for full permutations of the values, each sorted by a hash of seed, permutation and observation."""
-    z = standardize(df.select(key, x), x, "z").select(key, "z")
+    """(perm, moran) for full permutations of the values, each sorted by a hash of seed, permutation and observation.
+
+    Places by key are ranked once for all permutations; a permutation's order is ranked within buckets of the hash, so it is no one-task sort.
+    """
+    z = cut(standardize(df.select(key, x), x, "z").select(key, "z"))
     perms = df.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm"))
-    grid = z.crossJoin(F.broadcast(perms))
-    place = grid.select("perm", key, F.row_number().over(Window.partitionBy("perm").orderBy(key)).alias("_k"))
-    drawn = grid.select("perm", F.col("z").alias("v"), F.row_number().over(Window.partitionBy("perm").orderBy(seed_rank(seed, F.col("perm"), F.col(key)))).alias("_k"))
-    values = place.join(drawn, ["perm", "_k"]).select("perm", key, "v")
+    mixed = z.crossJoin(F.broadcast(perms)).select("perm", F.col("z").alias("v"), seed_rank(seed, F.col("perm"), F.col(key)).alias("_h"))
+    drawn = hashed_rank(mixed, F.substring("_h", 1, 3), [F.col("_h")], "_k", ["perm"]).drop("_h")
+    values = drawn.join(ranked(z.select(key), key, "_k", ties=[key]), "_k").select("perm", key, "v")
     lags = w.join(values.select("perm", F.col(key).alias("dst"), F.col("v").alias("_n")), "dst").groupBy("perm", "src").agg(F.avg("_n").alias("lag"))
     both = values.join(lags.withColumnRenamed("src", key), ["perm", key], "left")
     return both.groupBy("perm").agg((F.sum(F.col("v") * F.coalesce("lag", F.lit(0.0))) / (F.count(F.lit(1)) - 1)).alias("moran"))
@@ -109,53 +112,30 @@ def significance(p: Column) -> Column:
     return F.when(F.col("k") == 0, 5).when(p <= 0.0001, 4).when(p <= 0.001, 3).when(p <= 0.01, 2).when(p <= 0.05, 1).otherwise(0)
 
 
-def lisa_pseudo_p(found: DataFrame, key: str, permutations: int, seed: int = 42, value: str = "z") -> DataFrame:
-    """Exact plan for small n: for each permutation the k others with the least hashes stand in for the neighbours."""
+def _first_draws(found: DataFrame, key: str, value: str, kept: list[str], permutations: int, seed: int) -> DataFrame:
+    """For each observation and permutation, _m is the mean of the k others with the least hashes: n x n x permutations rows, for small n only."""
     perms = found.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm"))
     others = found.select(F.col(key).alias("other"), F.col(value).alias("_v"))
-    draws = found.where("k > 0").select(key, "z", "lisa", "k").join(F.broadcast(others), F.col(key) != F.col("other")).crossJoin(F.broadcast(perms))
+    draws = found.where("k > 0").select(key, "k", *kept).join(others, F.col(key) != F.col("other")).crossJoin(F.broadcast(perms))
     first = draws.withColumn("_r", F.row_number().over(Window.partitionBy(key, "perm").orderBy(seed_rank(seed, F.col("perm"), F.col(key), F.col("other"))))).where(F.col("_r") <= F.col("k"))
-    one = first.groupBy(key, "perm", "lisa", "z").agg(F.avg("_v").alias("_m"))
-    large = one.groupBy(key).agg(F.sum(F.when(F.col("z") * F.col("_m") >= F.col("lisa"), 1).otherwise(0)).alias("_c"))
-    p = large.select(key, ((F.least(F.col("_c"), permutations - F.col("_c")) + 1) / (permutations + 1)).alias("p"))
-    return found.join(p, key, "left").withColumn("sig", significance(F.col("p")))
+    return first.groupBy(key, "perm", "k", *kept).agg(F.avg("_v").alias("_m"))
 
 
-def lisa_pseudo_p_sampled(found: DataFrame, key: str, permutations: int = 499, seed: int = 42, value: str = "z", most_values: int = 5_000_000) -> DataFrame:
-    """Scale plan: the values (at most `most_values`, checked) go to every task once, and each observation draws by its own seed.
+def _two_sided(c: Column, permutations: int) -> Column:
+    return (F.least(c, permutations - c) + 1) / (permutations + 1)
 
-    The draws depend on the seed and the key alone, so they do not change with partitions or retries.
-    """
-    if found.count() > most_values:
-        raise ValueError("too many observations to send to every task; use lisa_pseudo_p or a sample of permutations")
-    values = np.array([r[0] for r in found.orderBy(key).select(value).collect()], "f8")
-    order = found.select(key, "lisa", "z", "k")
-    rank = order.withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1) if found.count() <= 100_000 else _rank(order, key)
-    shared = found.sparkSession.sparkContext.broadcast(values)
-
-    def draw(batches):
-        v = shared.value
-        for pdf in batches:
-            out = np.full(len(pdf), np.nan)
-            for i, (name, stat, z, k, at) in enumerate(zip(pdf[key], pdf["lisa"], pdf["z"], pdf["k"], pdf["_at"], strict=True)):
-                if k:
-                    random = np.random.default_rng([seed, int(name)])
-                    picks = random.integers(0, len(v) - 1, (permutations, int(k))) if k * k * 4 < len(v) else np.argsort(random.random((permutations, len(v) - 1)), axis=1)[:, : int(k)]
-                    for row in np.flatnonzero([len(set(p)) < len(p) for p in picks.tolist()]) if k > 1 else ():
-                        picks[row] = random.choice(len(v) - 1, int(k), replace=False)
-                    picks += picks >= at
-                    c = int((z * v[picks].mean(axis=1) >= stat).sum())
-                    out[i] = (min(c, permutations - c) + 1) / (permutations + 1)
-            yield pd.DataFrame({key: pdf[key], "p": out})
-
-    p = rank.mapInPandas(draw, f"{key} long, p double").withColumn("p", F.nanvl("p", F.lit(None)))
-    return found.join(p, key, "left").withColumn("sig", significance(F.col("p")))
-
-
-def _rank(df: DataFrame, key: str) -> DataFrame:
-    from arealis.operators.rank import ranked
-
-    return ranked(df, key, "_at", ties=[key]).withColumn("_at", F.col("_at") - 1)
+
+def lisa_pseudo_p(found: DataFrame, key: str, permutations: int, seed: int = 42, value: str = "z") -> DataFrame:
+    """Exact plan for small n: for each permutation the k others with the least hashes stand in for the neighbours."""
+    one = _first_draws(found, key, value, ["lisa", "z"], permutations, seed)
+    large = one.groupBy(key).agg(F.sum(F.when(F.col("z") * F.col("_m") >= F.col("lisa"), 1).otherwise(0)).alias("_c"))
+    return found.join(large.select(key, _two_sided(F.col("_c"), permutations).alias("p")), key, "left").withColumn("sig", significance(F.col("p")))
+
+
+def lisa_pseudo_p_sampled(found: DataFrame, key: str, permutations: int = 499, seed: int = 42, value: str = "z", by: list[str] | None = None) -> DataFrame:
+    """Scale plan, see `permute`: adds p and sig, within each group of `by`."""
+    tests = {"p": (F.lit(0.0), F.col("z"), F.col("lisa"))}
+    return conditional_p(found, key, value, tests, permutations, seed, by).withColumn("sig", significance(F.col("p")))
 
 
 def save_lisa(found: DataFrame, key: str, level: float = 0.05) -> DataFrame:
@@ -204,13 +184,27 @@ def g_cluster(z: str, p: str, level: float = 0.05) -> Column:
     return F.when(F.col("k") == 0, 3).when(F.col(z).isNull(), 4).when(F.col(p) > level, 0).when(F.col(z) > 0, 1).otherwise(2)
 
 
-def g_pseudo_p(found: DataFrame, key: str, x: str, permutations: int, seed: int = 42) -> DataFrame:
-    """Conditional permutation p of G (neighbour means suffice: the other terms are fixed): columns pp_g."""
-    perms = found.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm"))
-    others = found.select(F.col(key).alias("other"), F.col(x).alias("_v"))
-    total = found.agg(F.sum(F.when(F.col("k") > 0, F.col(x))).alias("_x"))
-    draws = found.where("k > 0").select(key, F.col(x).alias("_own"), "g", "k").join(F.broadcast(others), F.col(key) != F.col("other")).crossJoin(F.broadcast(perms))
-    first = draws.withColumn("_r", F.row_number().over(Window.partitionBy(key, "perm").orderBy(seed_rank(seed, F.col("perm"), F.col(key), F.col("other"))))).where(F.col("_r") <= F.col("k"))
-    one = first.groupBy(key, "perm", "g", "_own").agg(F.avg("_v").alias("_m")).crossJoin(F.broadcast(total))
-    c = one.groupBy(key).agg(F.sum(F.when(F.try_divide(F.col("_m"), F.col("_x") - F.col("_own")) >= F.col("g"), 1).otherwise(0)).alias("_c"))
-    return found.join(c.select(key, ((F.least(F.col("_c"), permutations - F.col("_c")) + 1) / (permutations + 1)).alias("pp_g")), key, "left")
+def _g_tests(x: str, binary: bool) -> dict[str, tuple[Column, Column, Column]]:
+    """G and G* as lines in the mean of the neighbours, with `_total` over observations with neighbours."""
+    k, own, total = F.col("k").cast("double"), F.col(x), F.col("_total")
+    scale = k if binary else F.lit(1.0)
+    star = F.try_divide(F.lit(1.0), total if binary else (k + 1) * total)
+    return {"pp_g": (F.lit(0.0), F.try_divide(scale, total - own), F.col("g")), "pp_star": (own * star, k * star, F.col("g_star"))}
+
+
+def _totals(found: DataFrame, x: str, by: list[str]) -> DataFrame:
+    total = F.sum(F.when(F.col("k") > 0, F.col(x))).alias("_total")
+    return found.join(found.groupBy(*by).agg(total), by) if by else found.crossJoin(F.broadcast(found.agg(total)))
+
+
+def g_pseudo_p(found: DataFrame, key: str, x: str, permutations: int, seed: int = 42, binary: bool = False) -> DataFrame:
+    """Conditional permutation p of G and G*, exact plan for small n: columns pp_g and pp_star."""
+    one = _first_draws(_totals(found, x, []), key, x, [x, "g", "g_star", "_total"], permutations, seed)
+    counts = [F.sum(F.when(a + b * F.col("_m") >= stat, 1).otherwise(0)).alias(name) for name, (a, b, stat) in _g_tests(x, binary).items()]
+    c = one.groupBy(key).agg(*counts)
+    return found.join(c.select(key, *[_two_sided(F.col(n), permutations).alias(n) for n in ("pp_g", "pp_star")]), key, "left")
+
+
+def g_pseudo_p_sampled(found: DataFrame, key: str, x: str, permutations: int = 499, seed: int = 42, binary: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Scale plan, see `permute`: columns pp_g and pp_star, within each group of `by`."""
+    return conditional_p(_totals(found, x, by or []), key, x, _g_tests(x, binary), permutations, seed, by).drop("_total")

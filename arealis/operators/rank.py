@@ -51,6 +51,20 @@ def ranked(df: DataFrame, value: str, out: str, by: list[str] | None = None, tie
     return binned.join(F.broadcast(places), ["_bin", "_tie"]).withColumn(out, within.cast("long") + F.col("_before")).drop("_bin", "_tie", "_part", "_before")
 
 
+def hashed_rank(df: DataFrame, bucket: Column, order: list[Column], out: str, by: list[str] | None = None) -> DataFrame:
+    """Add the 1-based rank (a long) by bucket, then by `order`, within each group of `by`.
+
+    Buckets come from a hash, so they split a large group evenly; there are few enough of them that their offsets are added up by one task for each group.
+    """
+    by = by or []
+    binned = df.withColumn("_bin", bucket)
+    sizes = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order)).cast("long")
+    offsets = sizes.withColumn("_before", before).drop("_n")
+    return binned.withColumn("_within", within).join(offsets, [*by, "_bin"]).withColumn(out, F.col("_within") + F.col("_before")).drop("_bin", "_within", "_before")
+
+
 def _positions(df: DataFrame, x: str, by: list[str], key: str) -> DataFrame:
     """Non-null values with rank r and count n."""
     clean = df.where(F.col(x).isNotNull())

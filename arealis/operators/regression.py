@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.functions.stats import chi2_tail, f_tail, normal_cdf, t_two_sided
+from arealis.operators.cut import cut
 from arealis.operators.weights import is_symmetric, row_standardise
 
 EXACT = 3000
@@ -248,7 +249,7 @@ def log_det(w: DataFrame, keys: DataFrame, key: str = "obs_id", powers: int = 30
     names = [f"u{i}" for i in range(vectors)]
     step, traces = base, []
     for _ in range(powers):
-        step = lagged(step, w, key, names).select(key, *[F.col(f"_l_{c}").alias(c) for c in names]).checkpoint()
+        step = cut(lagged(step, w, key, names).select(key, *[F.col(f"_l_{c}").alias(c) for c in names]))
         both = base.join(step.select(key, *[F.col(c).alias(f"_v{c}") for c in names]), key)
         traces.append(float(np.mean(both.agg(*[F.sum(F.col(c) * F.col(f"_v{c}")) for c in names]).first())))
     return lambda r: -sum(r ** (p + 1) * t / (p + 1) for p, t in enumerate(traces))
@@ -376,7 +377,7 @@ def save_lag(df: DataFrame, y: str, xs: list[str], w: DataFrame, fit: Fit, key:
             break
         step = lagged(step, w, key, ["_term"]).withColumn("_term", rho * F.col("_l__term")).withColumn("_sum", F.col("_sum") + F.col("_term")).select(base)
         if i % 5 == 4:
-            step = step.checkpoint()
+            step = cut(step)
     return step.withColumn("LAG_PREDIC", F.col("_sum")).withColumn("LAG_PRDERR", F.col(y) - F.col("_sum")).select(*df.columns, "LAG_PREDIC", "LAG_RESIDU", "LAG_PRDERR")
 
 

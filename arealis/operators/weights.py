@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arealis.operators.cut import cut
+
 EARTH_MILES = 3959.0
 
 
@@ -53,10 +55,11 @@ def symmetrise(w: DataFrame) -> DataFrame:
 def higher_order(w: DataFrame, order: int, cumulative: bool = False) -> DataFrame:
     """Pairs at a graph distance of exactly `order`, or of at most that; order 1 is W itself."""
     level = w.select("src", "dst").distinct()
+    level = cut(level) if order > 1 else level
     seen, step = level, level
     for _ in range(order - 1):
         ahead = step.join(level.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).where("src <> dst").distinct()
-        step = ahead.join(seen, ["src", "dst"], "left_anti")
+        step = cut(ahead.join(seen, ["src", "dst"], "left_anti"))
         seen = seen.unionAll(step)
     return seen if cumulative else step
 
@@ -114,32 +117,58 @@ def inverse_distance(band: DataFrame, degree: float = 1.0, row_norm: bool = Fals
     return out
 
 
+#: Points that a cell of the first round may hold, and the halvings of its side that are looked at to get there.
+CROWD, HALVINGS = 64, 24
+
+
+def _fullest(points: DataFrame, size: float, halvings: list[int]) -> list[int]:
+    """The points of the fullest cell, for each of size / 2**h."""
+    own = points.select(F.explode(F.array(*map(F.lit, halvings))).alias("h"), "x", "y")
+    side = F.lit(size) / F.pow(F.lit(2.0), "h")
+    full = own.groupBy("h", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")).agg(F.count(F.lit(1)).alias("c"))
+    return [r["c"] for r in full.groupBy("h").agg(F.max("c").alias("c")).orderBy("h").collect()]  # a row for each halving
+
+
+def _finest(points: DataFrame, size: float) -> float:
+    """The widest of size / 2**h whose fullest cell holds at most CROWD points, or little more than any smaller cells would."""
+    if _fullest(points, size, [0])[0] <= CROWD:
+        return size
+    crowds = _fullest(points, size, list(range(HALVINGS + 1)))
+    enough = max(CROWD, 2 * min(crowds))
+    return size / 2 ** next(h for h, c in enumerate(crowds) if c <= enough)
+
+
 def knn(points: DataFrame, k: int, per_cell: float = 2.0) -> DataFrame:
     """The k nearest of each point, ties by id, weight distance.
 
-    Cells are sized for `per_cell` points each. Reach r certifies a point once k others lie within r cells; the rest go on with a doubled
-    reach, so dense and sparse areas both end with few candidates.
+    Cells are sized for `per_cell` points each, and halved until the fullest one is small, so clusters don't become pairs of all with all. A round
+    certifies a point once k others lie within its cells' reach; the rest go on with cells four times as wide. Of points at one place only the
+    k + 1 least ids can be among anybody's nearest, so only these are candidates.
     """
+    points = cut(points.select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
     n, x0, x1, y0, y1 = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not 0 < k < n:
         raise ValueError("k must lie between 0 and the number of points")
+    least = F.row_number().over(Window.partitionBy("x", "y").orderBy("obs_id"))
+    targets = cut(points.withColumn("_r", least).where(F.col("_r") <= k + 1).drop("_r"))
     size = max(((x1 - x0) * (y1 - y0) * per_cell / n) ** 0.5, max(x1 - x0, y1 - y0) * per_cell / n, 1e-12)
-    widest = max(x1 - x0, y1 - y0) / size + 1
+    widest, size = max(x1 - x0, y1 - y0), _finest(targets, size)
     reach, open_points, found = max(1, int((k / per_cell) ** 0.5)), points, None
     while True:
         wide, _ = _cells(open_points, size, reach)
-        _, own = _cells(points, size, 0)
+        _, own = _cells(targets, size, 0)
         near = wide.join(own, ["cx", "cy"]).where("src <> dst").withColumn("w", euclid(F.col("sx"), F.col("sy"), F.col("x"), F.col("y")))
         top = near.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("w", "dst"))).where(F.col("r") <= k).select("src", "dst", "w")
-        sure = top.groupBy("src").agg(F.count(F.lit(1)).alias("c"), F.max("w").alias("far")).where((F.col("c") == k) & ((F.col("far") < reach * size) | F.lit(reach > widest))).select("src")
-        done = top.join(sure, "src", "left_semi")
+        last = reach * size > widest
+        counted = top.withColumns({"c": F.count(F.lit(1)).over(Window.partitionBy("src")), "far": F.max("w").over(Window.partitionBy("src"))})
+        done = cut(counted.where((F.col("c") == k) & ((F.col("far") < reach * size) | F.lit(last))).select("src", "dst", "w"))
         found = done if found is None else found.unionAll(done)
-        if reach > widest:
+        if last:
             return found
-        open_points = open_points.join(sure.withColumnRenamed("src", "obs_id"), "obs_id", "left_anti")
-        if not open_points.limit(1).count():
+        open_points = cut(open_points.join(done.select(F.col("src").alias("obs_id")).distinct(), "obs_id", "left_anti"))
+        if open_points.isEmpty():
             return found
-        reach *= 2
+        size *= 4
 
 
 def min_threshold(points: DataFrame) -> DataFrame:

@@ -216,11 +216,21 @@ def _a14(t):
     return live.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sx"), F.sum(F.col("v") * F.col("v")).alias("sxx")).withColumns({"eg": 1 / (F.col("n") - 1), "es": 1 / F.col("n")})
 
 
-@query("a15_g_pseudo_p", "obs_id:i pp_g:f", DRAWS.format("v") + f", {VAL.replace('val AS', 'val2 AS')}, gt AS (SELECT sum(v) AS tx FROM val2)", "SELECT obs_id, (least(c, 99 - c) + 1) / 100.0::DOUBLE AS pp_g FROM (SELECT ct.obs_id, sum(CASE WHEN m / (tx - v2.v) >= (SELECT avg(b.v) FROM wq JOIN val2 b ON b.obs_id = dst WHERE src = ct.obs_id) / (tx - v2.v) THEN 1 ELSE 0 END) AS c FROM ct JOIN val2 v2 USING (obs_id), gt GROUP BY 1)")
+#: Counts of G and G* that reach the observed ones, as lines in the mean of the neighbours.
+GPERM = DRAWS.format("v") + f", {VAL.replace('val AS', 'val2 AS')}, gt AS (SELECT sum(v) AS tx FROM val2), go AS (SELECT a.obs_id, a.v, tx, (SELECT avg(b.v) FROM wq JOIN val2 b ON b.obs_id = dst WHERE src = a.obs_id) AS m0, CAST((SELECT count(*) FROM wq WHERE src = a.obs_id) AS DOUBLE) AS k FROM val2 a, gt), gn AS (SELECT ct.obs_id, sum(CASE WHEN m / (tx - v) >= m0 / (tx - v) THEN 1 ELSE 0 END) AS c, sum(CASE WHEN (k * m + v) / ((k + 1) * tx) >= (k * m0 + v) / ((k + 1) * tx) THEN 1 ELSE 0 END) AS cs FROM ct JOIN go USING (obs_id) GROUP BY 1)"
+
+
+@query("a15_g_pseudo_p", "obs_id:i pp_g:f pp_star:f", GPERM, "SELECT obs_id, (least(c, 99 - c) + 1) / 100.0::DOUBLE AS pp_g, (least(cs, 99 - cs) + 1) / 100.0::DOUBLE AS pp_star FROM gn")
 def _a15(t):
     return autocorr.g_pseudo_p(_getis(t), "obs_id", "v", 99)
 
 
+@query("a15_g_pseudo_p_sampled", "obs_id:i pp_g:f pp_star:f")
+def _a15s(t):
+    c = t.customers().withColumn("v", F.col("v") + 1000)
+    return autocorr.g_pseudo_p_sampled(autocorr.getis_ord(c, weights.knn(c, 6), "obs_id", "v"), "obs_id", "v", 499)
+
+
 TIMES = f"{WQ}, {NY}, zt AS (SELECT obs_id, time_id, (v - avg(v) OVER (PARTITION BY time_id)) / stddev_samp(v) OVER (PARTITION BY time_id) AS z FROM ny), lt AS (SELECT a.obs_id, a.time_id, a.z, coalesce((SELECT avg(b.z) FROM wq JOIN zt b ON b.obs_id = dst WHERE src = a.obs_id AND b.time_id = a.time_id), 0) AS lag FROM zt a)"
 
 
@@ -234,6 +244,24 @@ def _a18l(t):
     return autocorr.lisa(t.nation_year(), t.queen(), "obs_id", "v", by=["time_id"])
 
 
+@query("a18_lisa_pseudo_p_by_period", "obs_id:i time_id:i p:f sig:i")
+def _a18p(t):
+    return autocorr.lisa_pseudo_p_sampled(autocorr.lisa(t.nation_year(), t.queen(), "obs_id", "v", by=["time_id"]), "obs_id", 499, by=["time_id"])
+
+
+GTIMES = f"{WQ}, {NY}, gs AS (SELECT obs_id, time_id, v, (SELECT sum(b.v) FROM wq JOIN ny b ON b.obs_id = dst WHERE src = a.obs_id AND b.time_id = a.time_id) AS s, CAST((SELECT count(*) FROM wq JOIN ny b ON b.obs_id = dst WHERE src = a.obs_id AND b.time_id = a.time_id) AS DOUBLE) AS k, sum(v) OVER (PARTITION BY time_id) AS tx FROM ny a)"
+
+
+@query("a18_g_by_period", "obs_id:i time_id:i g:f g_star:f", GTIMES, "SELECT obs_id, time_id, s / k / (tx - v) AS g, (s + v) / (k + 1) / tx AS g_star FROM gs")
+def _a18g(t):
+    return autocorr.getis_ord(t.nation_year(), t.queen(), "obs_id", "v", by=["time_id"])
+
+
+@query("a18_g_pseudo_p_by_period", "obs_id:i time_id:i pp_g:f pp_star:f")
+def _a18gp(t):
+    return autocorr.g_pseudo_p_sampled(autocorr.getis_ord(t.nation_year(), t.queen(), "obs_id", "v", by=["time_id"]), "obs_id", "v", 499, by=["time_id"])
+
+
 @query("m10_lisa_map", "cluster:i n:i", PSEUDO, "SELECT CASE WHEN p <= 0.05 THEN cluster ELSE 0 END AS cluster, count(*) AS n FROM li GROUP BY 1")
 def _m10(t):
     return autocorr.save_lisa(_lisa(t), "obs_id").groupBy(F.col("LISA_CL").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
