@@ -1,4 +1,4 @@
-"""DuckDB SQL that states the queries of this subpackage which SQL can express: op1, op3 and op7, over whole tables."""
+"""DuckDB SQL that states the queries of this subpackage which SQL can express: op1, op3, op7, op11 and op12, over whole tables."""
 
 from __future__ import annotations
 
@@ -60,4 +60,62 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r) LEFT JOIN beside USING (r)
 """
 
-SQL = {"op1_ngram_jaccard": JACCARD, "op3_decontamination": DECONTAMINATION, "op7_substring_dedup": SUBSTRINGS}
+
+def _framed(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_framed, ['doc_id', 'source', 'lang', n_chars, 'text']))})"
+
+
+#: A tree's levels: each node with its digest, then the next level's, from pairs of neighbours.
+def _levels(name: str, base: str) -> str:
+    return f"""{name}(g, l, i, d) AS (SELECT g, 0, i, d FROM ({base})
+    UNION ALL SELECT g, l + 1, i // 2, sha256(d || coalesce(e, '')) FROM (SELECT g, l, i, d, lead(d) OVER (PARTITION BY g ORDER BY i) AS e, count(*) OVER (PARTITION BY g) AS n FROM {name}) WHERE n > 1 AND i % 2 = 0)"""
+
+
+#: The siblings of place i, from level 0 up, and the fold of a digest along them.
+def _climb(name: str, start: str, nodes: str) -> str:
+    return f"""{name}(r, g, i, l, d, proof) AS (SELECT r, g, i, 0, d, '' FROM ({start})
+    UNION ALL SELECT r, c.g, c.i // 2, c.l + 1, sha256(CASE WHEN c.i % 2 = 1 THEN s.d || c.d ELSE c.d || coalesce(s.d, '') END), proof || coalesce(s.d, '')
+    FROM {name} c JOIN {nodes} p ON p.g = c.g AND p.l = c.l + 1 AND p.i = c.i // 2 LEFT JOIN {nodes} s ON s.g = c.g AND s.l = c.l AND s.i = c.i + 1 - 2 * (c.i % 2))"""
+
+
+#: The crc32 of an id's digits: a byte is xored in and eight bits are shifted out.
+CRC = "xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split({0}::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END), 4294967295)"
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('1' || lang, '0') AS g, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {CRC.format('doc_id')} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS bent FROM documents),
+leaves AS (SELECT r, doc_id, g, leaf, coalesce(bent, leaf) AS claim, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+{_levels("low", "SELECT g, i, leaf AS d FROM leaves")},
+subroots AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS place FROM low WHERE (g, l) IN (SELECT g, max(l) FROM low GROUP BY g)),
+{_levels("high", "SELECT '' AS g, place AS i, d FROM subroots")},
+top AS (SELECT d AS root FROM high WHERE l = (SELECT max(l) FROM high)),
+{_climb("up", "SELECT r, g, i, claim AS d FROM leaves", "low")},
+risen AS (SELECT r, up.g, up.d, up.proof FROM up WHERE (up.g, up.l) IN (SELECT g, max(l) FROM low GROUP BY g)),
+{_climb("on_", "SELECT r, '' AS g, s.place AS i, u.d FROM risen u JOIN subroots s ON s.g = u.g", "high")},
+done AS (SELECT r, d, proof FROM on_ WHERE l = (SELECT max(l) FROM high))
+SELECT a.doc_id, a.leaf, s.d AS subroot, t.root, sha256(u.proof || o.proof) AS proof_sha256, o.d AS folded_root, o.d = t.root AS verified
+FROM leaves a JOIN subroots s ON s.g = a.g JOIN risen u ON u.r = a.r JOIN done o ON o.r = a.r CROSS JOIN top t
+"""
+
+AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, {_words("coalesce(text, '')", SPACE)} AS w FROM documents),
+marks AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY x) THEN 16 ELSE 0 END AS m FROM d LEFT JOIN marks ON marks.doc_id = d.doc_id),
+k AS (SELECT part, m, count(*) AS n, sum(good::INT) AS g, sum(toxic::INT) AS t FROM f GROUP BY part, m),
+one(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM one a, one b, one c, one d, one e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+steps AS (SELECT filter_order, s AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS before FROM orders, range(1, 6) r(s)),
+every AS (SELECT part, filter_order, step, bit, sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN m & bit <> 0 AND m & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN t ELSE 0 END) AS toxic_lost FROM k CROSS JOIN steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM every
+"""
+
+SQL = {"op1_ngram_jaccard": JACCARD, "op3_decontamination": DECONTAMINATION, "op7_substring_dedup": SUBSTRINGS, "op11_merkle_manifest": MANIFEST, "op12_filter_audit": AUDIT}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.llm import byte_bpe, decontam, license_scan, matroska, nbsvm, ngram_jaccard, oracles, orc_tokens, suffix_dedup, token_counts, window_index
+from arealis.llm import byte_bpe, decontam, filter_audit, license_scan, matroska, merkle, nbsvm, ngram_jaccard, oracles, orc_tokens, suffix_dedup, token_counts, window_index
 from arealis.llm.common import table
 
 
@@ -52,6 +52,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.documents_manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
