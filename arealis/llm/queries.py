@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.llm import byte_bpe, decontam, filter_audit, license_scan, matroska, merkle, nbsvm, ngram_jaccard, oracles, orc_tokens, suffix_dedup, token_counts, window_index
+from arealis.llm import byte_bpe, decontam, filter_audit, license_scan, matroska, merkle, nbsvm, ngram_jaccard, oracles, orc_tokens, suffix_dedup, token_counts, toxicity, window_index
 from arealis.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumns({"evidence_ids": F.col("evidence.id"), "nearest_cosine": F.coalesce(F.expr("get(evidence, 0).cosine"), F.lit(0.0))}).drop("evidence")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
