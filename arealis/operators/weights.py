@@ -75,11 +75,22 @@ def arc_miles(lon1, lat1, lon2, lat2) -> Column:
     return EARTH_MILES * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
 
 
-def _cells(points: DataFrame, size: float, reach: int) -> tuple[DataFrame, DataFrame]:
-    own = points.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+PLANE = ("x", "y")
+SPHERE = ("ux", "uy", "uz")
+
+
+def _cells(points: DataFrame, size: float, reach: int, axes: tuple[str, ...] = PLANE) -> tuple[DataFrame, DataFrame]:
+    """Points once for each cell within reach of their own, their coordinates renamed s*, and points in their own cell c*."""
+    own = points.withColumns({f"c{a}": F.floor(F.col(a) / size) for a in axes})
     span = F.sequence(F.lit(-reach), F.lit(reach))
-    wide = own.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).select(F.col("obs_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    return wide, own.select(F.col("obs_id").alias("dst"), "x", "y", "cx", "cy")
+    wide = own
+    for a in axes:
+        wide = wide.withColumn(f"d{a}", F.explode(span))
+    wide = wide.select(F.col("obs_id").alias("src"), *[F.col(a).alias(f"s{a}") for a in axes], *[(F.col(f"c{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in axes])
+    if axes == SPHERE:  # cells that the unit sphere doesn't pass hold nothing
+        middle = F.sqrt(sum((((F.col(f"c{a}") + 0.5) * size) ** 2 for a in axes), F.lit(0.0)))
+        wide = wide.where(F.abs(middle - 1) <= size)
+    return wide, own.select(F.col("obs_id").alias("dst"), *axes, *[f"c{a}" for a in axes])
 
 
 def distance_band(points: DataFrame, threshold: float, degree: float = 1.0) -> DataFrame:
@@ -92,9 +103,17 @@ def distance_band(points: DataFrame, threshold: float, degree: float = 1.0) -> D
 
 
 def _sphere(points: DataFrame) -> DataFrame:
-    """Degrees x (longitude) and y (latitude) with their unit vector ux, uy, uz."""
-    lon, lat = F.radians("x"), F.radians("y")
-    return points.select("obs_id", "x", "y", (F.cos(lat) * F.cos(lon)).alias("ux"), (F.cos(lat) * F.sin(lon)).alias("uy"), F.sin(lat).alias("uz"))
+    """Degrees x (longitude) and y (latitude) with their unit vector ux, uy, uz. Longitudes wrap around, and a pole has one place only."""
+    wrapped = F.when((F.col("x") >= -180) & (F.col("x") < 180), F.col("x")).otherwise(F.pmod(F.col("x") + 180, F.lit(360.0)) - 180)
+    pole = F.abs("y") == 90
+    lon, lat = F.radians(F.when(pole, 0.0).otherwise(wrapped)), F.radians("y")
+    flat = F.when(pole, 0.0).otherwise(F.cos(lat))
+    return points.select("obs_id", "x", "y", (flat * F.cos(lon)).alias("ux"), (flat * F.sin(lon)).alias("uy"), F.sin(lat).alias("uz"))
+
+
+def chord_miles(chord: Column) -> Column:
+    """The great-circle distance of two places whose unit vectors are `chord` apart."""
+    return 2 * EARTH_MILES * F.asin(F.least(F.lit(1.0), chord / 2))
 
 
 def arc_band(points: DataFrame, miles: float) -> DataFrame:
@@ -121,47 +140,54 @@ def inverse_distance(band: DataFrame, degree: float = 1.0, row_norm: bool = Fals
 CROWD, HALVINGS = 64, 24
 
 
-def _fullest(points: DataFrame, size: float, halvings: list[int]) -> list[int]:
+def _fullest(points: DataFrame, size: float, halvings: list[int], axes: tuple[str, ...]) -> list[int]:
     """The points of the fullest cell, for each of size / 2**h."""
-    own = points.select(F.explode(F.array(*map(F.lit, halvings))).alias("h"), "x", "y")
+    own = points.select(F.explode(F.array(*map(F.lit, halvings))).alias("h"), *axes)
     side = F.lit(size) / F.pow(F.lit(2.0), "h")
-    full = own.groupBy("h", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")).agg(F.count(F.lit(1)).alias("c"))
+    full = own.groupBy("h", *[F.floor(F.col(a) / side).alias(f"c{a}") for a in axes]).agg(F.count(F.lit(1)).alias("c"))
     return [r["c"] for r in full.groupBy("h").agg(F.max("c").alias("c")).orderBy("h").collect()]  # a row for each halving
 
 
-def _finest(points: DataFrame, size: float) -> float:
+def _finest(points: DataFrame, size: float, axes: tuple[str, ...] = PLANE) -> float:
     """The widest of size / 2**h whose fullest cell holds at most CROWD points, or little more than any smaller cells would."""
-    if _fullest(points, size, [0])[0] <= CROWD:
+    if _fullest(points, size, [0], axes)[0] <= CROWD:
         return size
-    crowds = _fullest(points, size, list(range(HALVINGS + 1)))
+    crowds = _fullest(points, size, list(range(HALVINGS + 1)), axes)
     enough = max(CROWD, 2 * min(crowds))
     return size / 2 ** next(h for h, c in enumerate(crowds) if c <= enough)
 
 
-def knn(points: DataFrame, k: int, per_cell: float = 2.0) -> DataFrame:
-    """The k nearest of each point, ties by id, weight distance.
+def _spread(points: DataFrame, axes: tuple[str, ...], per_cell: float) -> tuple[int, float, float]:
+    """Number of points, their widest extent, and the side of cells of `per_cell` points each, were these spread evenly over the two widest axes."""
+    found = points.agg(F.count(F.lit(1)).alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    n, sides = found["n"], sorted((found[a] or 0.0 for a in axes), reverse=True)
+    return n, sides[0], max((sides[0] * sides[1] * per_cell / max(n, 1)) ** 0.5, sides[0] * per_cell / max(n, 1), 1e-12)
+
+
+def _nearest(points: DataFrame, k: int, axes: tuple[str, ...], distance: Column, per_cell: float, slack: float = 0.0) -> DataFrame:
+    """(src, dst, w): the k nearest of each point by `distance`, which grows with the `gap` along the axes (gaps within slack may tie); ties by id.
 
     Cells are sized for `per_cell` points each, and halved until the fullest one is small, so clusters don't become pairs of all with all. A round
     certifies a point once k others lie within its cells' reach; the rest go on with cells four times as wide. Of points at one place only the
     k + 1 least ids can be among anybody's nearest, so only these are candidates.
     """
-    points = cut(points.select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    n, x0, x1, y0, y1 = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    points = cut(points)
+    n, widest, size = _spread(points, axes, per_cell)
     if not 0 < k < n:
         raise ValueError("k must lie between 0 and the number of points")
-    least = F.row_number().over(Window.partitionBy("x", "y").orderBy("obs_id"))
+    least = F.row_number().over(Window.partitionBy(*axes).orderBy("obs_id"))
     targets = cut(points.withColumn("_r", least).where(F.col("_r") <= k + 1).drop("_r"))
-    size = max(((x1 - x0) * (y1 - y0) * per_cell / n) ** 0.5, max(x1 - x0, y1 - y0) * per_cell / n, 1e-12)
-    widest, size = max(x1 - x0, y1 - y0), _finest(targets, size)
+    size = _finest(targets, size, axes)
     reach, open_points, found = max(1, int((k / per_cell) ** 0.5)), points, None
+    gap = F.sqrt(sum(((F.col(f"s{a}") - F.col(a)) * (F.col(f"s{a}") - F.col(a)) for a in axes), F.lit(0.0)))
     while True:
-        wide, _ = _cells(open_points, size, reach)
-        _, own = _cells(targets, size, 0)
-        near = wide.join(own, ["cx", "cy"]).where("src <> dst").withColumn("w", euclid(F.col("sx"), F.col("sy"), F.col("x"), F.col("y")))
-        top = near.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("w", "dst"))).where(F.col("r") <= k).select("src", "dst", "w")
+        wide, _ = _cells(open_points, size, reach, axes)
+        _, own = _cells(targets, size, 0, axes)
+        near = wide.join(own, [f"c{a}" for a in axes]).where("src <> dst").withColumn("gap", gap).withColumn("w", distance)
+        top = near.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("w", "dst"))).where(F.col("r") <= k).select("src", "dst", "w", "gap")
         last = reach * size > widest
-        counted = top.withColumns({"c": F.count(F.lit(1)).over(Window.partitionBy("src")), "far": F.max("w").over(Window.partitionBy("src"))})
-        done = cut(counted.where((F.col("c") == k) & ((F.col("far") < reach * size) | F.lit(last))).select("src", "dst", "w"))
+        counted = top.withColumns({"c": F.count(F.lit(1)).over(Window.partitionBy("src")), "far": F.max("gap").over(Window.partitionBy("src"))})
+        done = cut(counted.where((F.col("c") == k) & ((F.col("far") + slack < reach * size) | F.lit(last))).select("src", "dst", "w"))
         found = done if found is None else found.unionAll(done)
         if last:
             return found
@@ -171,6 +197,21 @@ def knn(points: DataFrame, k: int, per_cell: float = 2.0) -> DataFrame:
         size *= 4
 
 
+def knn(points: DataFrame, k: int, per_cell: float = 2.0) -> DataFrame:
+    """The k nearest of each point, ties by id, weight distance."""
+    flat = points.select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return _nearest(flat, k, PLANE, F.col("gap"), per_cell)
+
+
+def arc_knn(points: DataFrame, k: int, per_cell: float = 2.0) -> DataFrame:
+    """The k nearest of each degree point on the great circle, weight miles to a millionth (so ties go by id): a search over cells of unit vectors, certified by chords.
+
+    Longitudes wrap at the dateline, a pole is one place whatever its longitude, and coincident points are 0 apart.
+    """
+    flat = _sphere(points.select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).select("obs_id", *SPHERE)
+    return _nearest(flat, k, SPHERE, F.round(chord_miles(F.col("gap")), 6), per_cell, 1e-9)
+
+
 def min_threshold(points: DataFrame) -> DataFrame:
     """The largest distance of a point to its nearest: the least band without isolates."""
     return knn(points, 1).agg(F.max("w").alias("min_threshold"))

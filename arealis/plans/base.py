@@ -72,6 +72,11 @@ class Tables:
         k = F.col("c_custkey")
         return self.customer.select(k.alias("obs_id"), (k % 40 + (k * 7) % 11 / 100.0).alias("x"), (F.floor(k / 40) + (k * 3) % 13 / 100.0).alias("y"), F.col("c_acctbal").alias("v"))
 
+    def globe(self) -> DataFrame:
+        """Customers all over the globe, in degrees; those of one latitude in 1801 stand at a pole."""
+        k = F.col("c_custkey")
+        return self.customer.select(k.alias("obs_id"), ((k * 1375) % 3600 / 10.0 - 180).alias("x"), ((k * 7919) % 1801 / 10.0 - 90).alias("y"))
+
     def embedded(self) -> DataFrame:
         return self.embeddings.select(F.col("vec_id").alias("obs_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
@@ -87,6 +92,7 @@ WR = "wr AS (SELECT a.obs_id AS src, b.obs_id AS dst FROM nat a JOIN nat b ON ab
 NY = "ny AS (SELECT c_nationkey AS obs_id, year(o_orderdate) AS time_id, sum(o_totalprice) / 1e6 AS v, CAST(count(*) AS DOUBLE) AS p, avg(o_totalprice) AS a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 SUP = "sup AS (SELECT s_suppkey AS obs_id, s_suppkey % 10 + ((s_suppkey * 7) % 11) / 100.0::DOUBLE AS x, s_suppkey // 10 + ((s_suppkey * 3) % 13) / 100.0::DOUBLE AS y, s_acctbal AS v FROM supplier)"
 CUS = "cus AS (SELECT c_custkey AS obs_id, c_custkey % 40 + ((c_custkey * 7) % 11) / 100.0::DOUBLE AS x, c_custkey // 40 + ((c_custkey * 3) % 13) / 100.0::DOUBLE AS y, c_acctbal AS v FROM customer)"
+GLO = "glo AS (SELECT c_custkey AS obs_id, ((c_custkey * 1375) % 3600) / 10.0::DOUBLE - 180 AS x, ((c_custkey * 7919) % 1801) / 10.0::DOUBLE - 90 AS y FROM customer)"
 EMB = "emb AS (SELECT vec_id AS obs_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 PAR = "par AS (SELECT p_partkey AS obs_id, p_size, p_retailprice AS price, p_brand, p_type FROM part)"
 #: Standardised values and kernel lags on the lattice.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arealis.functions.calc import standardize
 from arealis.operators import autocorr, rates, select, weights
-from arealis.plans.base import CUS, EMB, LAG, NAT, NY, SUP, VAL, VTX, WQ, WR, ZED, query
+from arealis.plans.base import CUS, EMB, GLO, LAG, NAT, NY, SUP, VAL, VTX, WQ, WR, ZED, query
 from arealis.sources.text import as_contiguity
 
 CUSTOMERS = "SELECT c_custkey AS obs_id, c_acctbal AS x, c_nationkey AS k FROM customer"
@@ -64,7 +64,21 @@ _w("w06_distance_band_irregular", lambda t: weights.distance_band(t.embedded(),
 _w("w07_inverse_distance", lambda t: weights.inverse_distance(weights.distance_band(t.suppliers(), 1.5), 2.0, True), f"{SUP}, bd AS ({BAND.format('sup', 1.5)}), iv AS (SELECT src, dst, pow(w / (SELECT min(w) FROM bd), -2) AS w FROM bd)", "SELECT src, dst, w / sqrt(sum(w * w) OVER (PARTITION BY src)) AS w FROM iv", "src:i dst:i w:f")
 _w("w08_knn", lambda t: weights.knn(t.customers(), 6), CUS, KNN.format("cus", 6), "src:i dst:i w:f")
 _w("w08_knn_irregular", lambda t: weights.knn(t.embedded(), 4), EMB, KNN.format("emb", 4), "src:i dst:i w:f")
-_w("w09_arc_distance", lambda t: t.suppliers().alias("a").crossJoin(F.broadcast(t.suppliers().where("obs_id < 3").alias("b"))).select(F.col("a.obs_id").alias("src"), F.col("b.obs_id").alias("dst"), weights.arc_miles(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")).alias("w")).where("src <> dst"), SUP, "SELECT a.obs_id AS src, b.obs_id AS dst, 3959.0 * acos(least(1.0, greatest(-1.0, sin(radians(a.y)) * sin(radians(b.y)) + cos(radians(a.y)) * cos(radians(b.y)) * cos(radians(a.x) - radians(b.x))))) AS w FROM sup a JOIN sup b ON b.obs_id < 3 AND a.obs_id <> b.obs_id", "src:i dst:i w:f")
+ARC = "3959.0 * acos(least(1.0, greatest(-1.0, sin(radians(a.y)) * sin(radians(b.y)) + cos(radians(a.y)) * cos(radians(b.y)) * cos(radians(a.x) - radians(b.x)))))"
+UNIT = "u AS (SELECT obs_id, CASE WHEN abs(y) = 90 THEN 0 ELSE cos(radians(y)) * cos(radians(x)) END AS a, CASE WHEN abs(y) = 90 THEN 0 ELSE cos(radians(y)) * sin(radians(x)) END AS b, sin(radians(y)) AS c FROM {0})"
+ARC_KNN = "SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS r FROM (SELECT p.obs_id AS src, q.obs_id AS dst, round(2 * 3959.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c)) / 2)), 6) AS w FROM u p JOIN u q ON p.obs_id <> q.obs_id)) WHERE r <= {0}"
+
+
+def _arcs_beside(t):
+    """Arc distances of the pairs of a band in degrees."""
+    s = t.suppliers().select("obs_id", "x", "y")
+    ends = weights.distance_band(s, 1.5).select("src", "dst").join(s.toDF("src", "ax", "ay"), "src").join(s.toDF("dst", "bx", "by"), "dst")
+    return ends.select("src", "dst", weights.arc_miles(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("w"))
+
+
+_w("w09_arc_distance", _arcs_beside, f"{SUP}, bd AS ({BAND.format('sup', 1.5)})", f"SELECT src, dst, {ARC} AS w FROM bd JOIN sup a ON a.obs_id = src JOIN sup b ON b.obs_id = dst", "src:i dst:i w:f")
+_w("w09_arc_knn", lambda t: weights.arc_knn(t.suppliers(), 4), f"{SUP}, {UNIT.format('sup')}", ARC_KNN.format(4), "src:i dst:i w:f")
+_w("w09_arc_knn_globe", lambda t: weights.arc_knn(t.globe(), 5), f"{GLO}, {UNIT.format('glo')}", ARC_KNN.format(5), "src:i dst:i w:f")
 _w("w09_arc_band", lambda t: weights.arc_band(t.suppliers(), 150.0), f"{SUP}, arc AS (SELECT a.obs_id AS src, b.obs_id AS dst, 3959.0 * acos(least(1.0, greatest(-1.0, sin(radians(a.y)) * sin(radians(b.y)) + cos(radians(a.y)) * cos(radians(b.y)) * cos(radians(a.x) - radians(b.x))))) AS w FROM sup a JOIN sup b ON a.obs_id <> b.obs_id)", "SELECT * FROM arc WHERE w <= 150.0", "src:i dst:i w:f")
 _w("w10_min_threshold", lambda t: weights.min_threshold(t.embedded()), f"{EMB}, kn AS ({KNN.format('emb', 1)})", "SELECT max(w) AS min_threshold FROM kn", "min_threshold:f")
 _w("w11_max_distance", lambda t: weights.max_distance(t.embedded()), EMB, "SELECT sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) AS max_distance FROM emb", "max_distance:f")

@@ -1,6 +1,7 @@
 """Worked examples, edge cases and properties on small hand-made tables."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -235,3 +236,27 @@ def test_arc_band_over_dateline_and_pole(spark):
     lon, lat = np.radians(at).T
     d = 3959.0 * np.arccos(np.clip(np.sin(lat)[:, None] * np.sin(lat) + np.cos(lat)[:, None] * np.cos(lat) * np.cos(lon[:, None] - lon), -1, 1))
     assert got == {(i, j) for i in range(len(at)) for j in range(len(at)) if i != j and d[i, j] <= 400} and {(150, 151), (152, 153), (152, 154)} <= got
+
+
+def test_arc_neighbours(spark):
+    """Across the dateline, at a pole, at one place, in a crowd far from the rest; against all pairs."""
+    rng = random.Random(5)
+    spots = [(179.9, 0.0), (-179.9, 0.0), (180.0, 0.1), (-180.0, 0.1), (12.0, 90.0), (-100.0, 90.0), (50.0, 89.9), (7.0, -90.0), (10.0, 10.0), (10.0, 10.0), (370.0, 10.0)]
+    spots += [(40 + rng.random() * 1e-3, 20 + rng.random() * 1e-3) for _ in range(150)] + [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(60)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "obs_id long, x double, y double")
+
+    def unit(x, y):
+        lon, lat = math.radians(0 if abs(y) == 90 else x), math.radians(y)
+        flat = 0.0 if abs(y) == 90 else math.cos(lat)
+        return flat * math.cos(lon), flat * math.sin(lon), math.sin(lat)
+
+    units = [unit(*p) for p in spots]
+    miles = lambda a, b: round(2 * 3959 * math.asin(min(1.0, math.dist(a, b) / 2)), 6)
+    got = {}
+    for r in weights.arc_knn(points, 3).collect():
+        got.setdefault(r.src, []).append((r.w, r.dst))
+    for i, u in enumerate(units):
+        want = sorted((miles(u, v), j) for j, v in enumerate(units) if j != i)[:3]
+        assert [w for w, _ in sorted(got[i])] == pytest.approx([w for w, _ in want], abs=2e-6)
+    assert {d for _, d in got[8]} >= {9, 10} and sorted(got[4])[0] == (0.0, 5)
+    assert {d for w, d in got[2] if w == 0} == {3}
