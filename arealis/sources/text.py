@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arealis.sources.placed import numbered, write_lines
+
 
 def quote(x: Column) -> Column:
     """Quotes only where a quote or a comma stands: quotes inside are doubled."""
@@ -30,22 +32,11 @@ def typed(raw: DataFrame) -> DataFrame:
     return raw.select(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`")) if k != "string" else F.col(f"`{c}`")).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def csv_lines(df: DataFrame, order: str) -> DataFrame:
-    cells = [F.coalesce(quote(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns]
-    return df.orderBy(order).select(F.concat_ws(",", *cells).alias("value"))
-
-
 def write_csv(df: DataFrame, path: str, order: str) -> None:
-    """Part files with a header each, rows in order."""
-    lines = csv_lines(df, order)
+    """One file: a header, then rows in order."""
     head = ",".join('"' + c.replace('"', '""') + '"' if '"' in c or "," in c else c for c in df.columns)
-    parts = lines.mapInPandas(lambda it: ((__import__("pandas").concat([__import__("pandas").DataFrame({"value": [head]}), p]) if i == 0 else p) for i, p in enumerate(it)), "value string")
-    parts.write.text(path)
-
-
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place; a weights file is one file, and order within it is that of its blocks."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("n", "line"))
+    cells = [F.coalesce(quote(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns]
+    write_lines(df.sparkSession, head, df.select(F.concat_ws(",", *cells).alias("value"), F.col(f"`{order}`").alias("order")), ["order"], path)
 
 
 def _to_rows(w: DataFrame, keys: DataFrame | None, key: str | None) -> DataFrame:
@@ -59,7 +50,7 @@ def _to_rows(w: DataFrame, keys: DataFrame | None, key: str | None) -> DataFrame
 
 def read_gal(spark: SparkSession, path: str, keys: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """(src, dst) from pairs of lines: `id count`, then neighbours (maybe blank). Record-order ids count from the least one."""
-    lines = _numbered(spark, path).where("n > 0")
+    lines = numbered(spark, path).where("n > 0")
     body = lines.withColumn("pair", F.floor((F.col("n") - 1) / 2)).groupBy("pair").agg(F.max(F.when(F.col("n") % 2 == 1, F.col("line"))).alias("head"), F.max(F.when(F.col("n") % 2 == 0, F.col("line"))).alias("near"))
     body = body.where(F.trim("head") != "").select(F.split(F.trim("head"), r"\s+")[0].cast("long").alias("src"), F.coalesce("near", F.lit("")).alias("near"))
     w = body.select("src", F.explode(F.array_remove(F.split(F.trim("near"), r"\s+"), "")).alias("dst")).select("src", F.col("dst").cast("long").alias("dst"))
@@ -72,7 +63,7 @@ def read_gal(spark: SparkSession, path: str, keys: DataFrame | None = None, key:
 def read_gwt(spark: SparkSession, path: str, keys: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """(src, dst, w): a line for each pair."""
     parts = F.split(F.trim("line"), r"\s+")
-    w = _numbered(spark, path).where("n > 0").where(F.trim("line") != "").select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"), parts[2].cast("double").alias("w"))
+    w = numbered(spark, path).where("n > 0").where(F.trim("line") != "").select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"), parts[2].cast("double").alias("w"))
     return w if keys is None else _to_rows(w, keys, key).select("src", "dst", "w")
 
 
@@ -93,18 +84,10 @@ def gwt_lines(w: DataFrame) -> DataFrame:
     return w.select("src", "dst", F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), F.format_string("%18.9g", "w")).alias("value"))
 
 
-def write_lines(spark: SparkSession, head: str, lines: DataFrame, order: list[str], path: str) -> None:
-    """One text file; its lines are one per observation or pair, so it is written by one task in order."""
-    first = spark.createDataFrame([(head,)], "value string").withColumn("_o", F.lit(0))
-    rest = lines.select("value", F.lit(1).alias("_o"), *order)
-    first = first.select("value", "_o", *[F.lit(None).cast(dict(lines.dtypes)[c]).alias(c) for c in order])
-    first.unionByName(rest).repartition(1).sortWithinPartitions("_o", *order).select("value").write.text(path)
-
-
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     """Header `n,idname`; for each polygon `id,npoints` and its vertices. Gives obs_id, id, geom (closed rings); areas come from geometry.area_perimeter."""
     parts = F.split(F.trim("line"), r"\s*[,\s]\s*")
-    lines = _numbered(spark, path).where("n > 0").where(F.trim("line") != "").select("n", parts[0].alias("a"), parts[1].alias("b"))
+    lines = numbered(spark, path).where("n > 0").where(F.trim("line") != "").select("n", parts[0].alias("a"), parts[1].alias("b"))
 
     def rings(pdf):
         import pandas as pd
