@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,53 +129,12 @@ def orient(rings: list[list[tuple[float, float]]]) -> list[list[tuple[float, flo
     return [ring[::-1] if (ring_area(ring) > 0) == (depth % 2 == 0) else ring for ring, depth in zip(rings, nesting(rings), strict=True)]
 
 
-def clip_cell(site: tuple[float, float], others: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
-    """The part of the box nearer to the site than to any other: half-plane cuts, nearest first, until none can reach; empty if nothing is."""
-    x0, y0, x1, y1 = box
-    cell = [(x0, y0), (x0, y1), (x1, y1), (x1, y0)]
-    sx, sy = site
-    for ox, oy in sorted(others, key=lambda o: (o[0] - sx) ** 2 + (o[1] - sy) ** 2):
-        reach = max((x - sx) ** 2 + (y - sy) ** 2 for x, y in cell)
-        if (ox - sx) ** 2 + (oy - sy) ** 2 > 4 * reach:
-            break
-        side = lambda p: (p[0] - sx) ** 2 + (p[1] - sy) ** 2 - (p[0] - ox) ** 2 - (p[1] - oy) ** 2  # noqa: B023, E731
-        out = []
-        for p, q in zip(cell, [*cell[1:], cell[0]], strict=True):
-            a, b = side(p), side(q)
-            if a <= 0:
-                out.append(p)
-            if (a < 0 < b) or (b < 0 < a):
-                t = a / (a - b)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        cell = out
-        if not cell:
-            return []
-    return [*cell, cell[0]]
-
-
 def extent(points: DataFrame, margin: float) -> tuple[float, float, float, float]:
     """The bounding box of points, widened by a margin."""
     x0, y0, x1, y1 = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     return x0 - margin, y0 - margin, x1 + margin, y1 + margin
 
 
-def thiessen(points: DataFrame, box: tuple[float, float, float, float], most: int = 200_000) -> DataFrame:
-    """(obs_id, geom): Voronoi cells clipped to the box. Sites (at most `most`, checked) go to every task; coincident sites are refused."""
-    sites = [tuple(r) for r in points.select("x", "y").limit(most + 1).collect()]
-    if len(sites) > most:
-        raise ValueError("too many sites to send to every task")
-    if len(set(sites)) < len(sites):
-        raise ValueError("two sites coincide")
-    shared = points.sparkSession.sparkContext.broadcast(sites)
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rings = [clip_cell((x, y), [s for s in shared.value if s != (x, y)], box) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            yield pd.DataFrame({"obs_id": pdf["obs_id"], "geom": [{"type": POLYGON, "parts": [0], "points": [{"x": x, "y": y} for x, y in r]} for r in rings]})
-
-    return points.select("obs_id", "x", "y").mapInPandas(cells, f"obs_id long, geom {GEOM}")
-
-
 def arc_midpoint(lon1: float, lat1: float, lon2: float, lat2: float) -> tuple[float, float]:
     """The middle of a great-circle arc, in degrees."""
     a, b, d = math.radians(lat1), math.radians(lat2), math.radians(lon2 - lon1)

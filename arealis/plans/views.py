@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from arealis.functions.calc import standardize
 from arealis.functions.stats import simple_regression, summary
-from arealis.operators import classify, explore, geometry, rates, regression, weights
+from arealis.operators import classify, explore, geometry, rates, regression, voronoi, weights
+from arealis.operators.cut import cut
 from arealis.plans.base import CUS, LAG, NAT, NY, PAR, SUP, VAL, WQ, query
 from arealis.plans.calculator import HINGES, RANKS, REG, _haz
 from arealis.streaming import events as streams
@@ -192,18 +193,45 @@ def _g05(t):
     return geometry.grid(t.spark, 12, 8, 0.0, 0.0, 4.0, 3.0).withColumns(geometry.centroid())
 
 
-@query("g06_thiessen", "n:i total:f", "", "SELECT count(*) AS n, 12.0 * 12.0 AS total FROM supplier")
+@query("g06_thiessen", "n:i empty:i total:f", CUS, "SELECT count(*) AS n, 0 AS empty, (max(x) - min(x) + 2) * (max(y) - min(y) + 2) AS total FROM cus")
 def _g06(t):
-    cells = geometry.thiessen(t.suppliers(), (-1.0, -1.0, 11.0, 11.0))
-    return cells.withColumns(geometry.area_perimeter()).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("total"))
+    cells = voronoi.thiessen(t.customers(), geometry.extent(t.customers(), 1.0))
+    return cells.withColumns(geometry.area_perimeter()).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("area") <= 0).alias("empty"), F.sum("area").alias("total"))
 
 
 @query("g06_thiessen_extent", "n:i empty:i total:f", SUP, "SELECT count(*) AS n, 0 AS empty, (max(x) - min(x) + 2) * (max(y) - min(y) + 2) AS total FROM sup")
 def _g06_extent(t):
-    cells = geometry.thiessen(t.suppliers(), geometry.extent(t.suppliers(), 1.0))
+    cells = voronoi.thiessen(t.suppliers(), geometry.extent(t.suppliers(), 1.0))
     return cells.withColumns(geometry.area_perimeter()).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("area") <= 0).alias("empty"), F.sum("area").alias("total"))
 
 
+#: Sample points all over the customers' extent, and the customer that is nearest to each.
+SPOTS = "spots AS (SELECT p_partkey AS k, lo + (hi - lo) * (((p_partkey * 7919) % 10007) / 10007.0::DOUBLE) AS px, bo + (up - bo) * (((p_partkey * 104729) % 10009) / 10009.0::DOUBLE) AS py FROM part, (SELECT min(x) AS lo, max(x) AS hi, min(y) AS bo, max(y) AS up FROM cus))"
+
+
+@query("g06_thiessen_nearest", "k:i site:i v:f", f"{CUS}, {SPOTS}", "SELECT k, obs_id AS site, v FROM (SELECT k, obs_id, v, row_number() OVER (PARTITION BY k ORDER BY round((x - px) * (x - px) + (y - py) * (y - py), 9), obs_id) AS r FROM spots, cus) WHERE r = 1")
+def _g06_nearest(t):
+    c = t.customers()
+    ends = c.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("y").alias("bo"), F.max("y").alias("up"))
+    spots = t.part.crossJoin(F.broadcast(ends)).select(F.col("p_partkey").alias("key"), (F.col("lo") + (F.col("hi") - F.col("lo")) * ((F.col("p_partkey") * 7919) % 10007 / 10007.0)).alias("x"), (F.col("bo") + (F.col("up") - F.col("bo")) * ((F.col("p_partkey") * 104729) % 10009 / 10009.0)).alias("y"))
+    cells = cut(voronoi.thiessen(c, geometry.extent(c, 1.0)))
+    held = voronoi.holders(spots, cells).groupBy("key").agg(F.min("obs_id").alias("obs_id"))
+    return held.join(cells.select("obs_id", "v"), "obs_id").select(F.col("key").alias("k"), F.col("obs_id").alias("site"), "v")
+
+
+#: On the bisector of two sites, the part that no other site or side of the box (a margin of 1 around) cuts off: m + t d, from the first site.
+EDGES = """ends AS (SELECT min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1 FROM sup),
+pr AS (SELECT a.obs_id AS src, b.obs_id AS dst, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS ry FROM sup a JOIN sup b ON a.obs_id <> b.obs_id),
+bounds AS (SELECT src, dst, bx, ry, 2 * (c.x - ax) * -ry + 2 * (c.y - ay) * bx AS k, (c.x - ax) * (c.x - ax) + (c.y - ay) * (c.y - ay) - (c.x - ax) * bx - (c.y - ay) * ry AS r FROM pr JOIN sup c ON c.obs_id <> src AND c.obs_id <> dst
+    UNION ALL SELECT src, dst, bx, ry, s * CASE WHEN up THEN bx ELSE -ry END, s * CASE WHEN up THEN CASE WHEN s > 0 THEN y1 ELSE y0 END - ay - ry / 2 ELSE CASE WHEN s > 0 THEN x1 ELSE x0 END - ax - bx / 2 END FROM pr, ends, (VALUES (1, true), (-1, true), (1, false), (-1, false)) v(s, up)),
+spans AS (SELECT src, dst, bx, ry, min(CASE WHEN k > 1e-12 THEN r / k END) AS hi, max(CASE WHEN k < -1e-12 THEN r / k END) AS lo, min(CASE WHEN abs(k) <= 1e-12 THEN r ELSE 1 END) AS room FROM bounds GROUP BY ALL)"""
+
+
+@query("v13_point_neighbours", "src:i dst:i w:f", f"{SUP}, {EDGES}", "SELECT src, dst, (hi - lo) * sqrt(bx * bx + ry * ry) AS w FROM spans WHERE room > -1e-9 AND (hi - lo) * sqrt(bx * bx + ry * ry) > 1e-9 * (SELECT sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) FROM ends)")
+def _v13_neighbours(t):
+    return voronoi.neighbours(t.suppliers(), geometry.extent(t.suppliers(), 1.0))
+
+
 @query("g07_add_centroids", "obs_id:i XCNTRD:f YCNTRD:f XMCTR:f YMCTR:f", NAT, "SELECT obs_id, x + 0.5 AS XCNTRD, y + 0.5 AS YCNTRD, x + 0.4 AS XMCTR, y + 0.4 AS YMCTR FROM nat")
 def _g07(t):
     return t.lattice().withColumns({k.upper(): v for k, v in (geometry.centroid() | geometry.mean_center()).items()})

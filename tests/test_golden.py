@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from arealis.functions import calc, stats
-from arealis.operators import autocorr, classify, explore, geometry, rank, rates, regression, select, tables, weights
+from arealis.operators import autocorr, classify, explore, geometry, rank, rates, regression, select, tables, voronoi, weights
 
 
 def frame(spark, values, schema="obs_id long, v double"):
@@ -118,10 +118,10 @@ def test_donut(spark):
 
 def test_voronoi_cells_fill_the_box(spark):
     pts = spark.createDataFrame([(i, math.sin(i * 7) * 3, math.cos(i * 5) * 3) for i in range(30)], "obs_id long, x double, y double")
-    cells = geometry.thiessen(pts, (-4.0, -4.0, 4.0, 4.0)).withColumns(geometry.area_perimeter())
+    cells = voronoi.thiessen(pts, (-4.0, -4.0, 4.0, 4.0)).withColumns(geometry.area_perimeter())
     assert cells.agg(F.sum("area")).first()[0] == pytest.approx(64)
     with pytest.raises(ValueError):
-        geometry.thiessen(pts.unionAll(pts.limit(1)), (-4.0, -4.0, 4.0, 4.0))
+        voronoi.thiessen(pts.unionAll(pts.limit(1)), (-4.0, -4.0, 4.0, 4.0))
 
 
 def test_selection_of_toggles_and_neighbours(spark):
@@ -223,9 +223,9 @@ def test_natural_breaks_are_exact_on_many_values(spark):
 
 def test_thiessen_cells_outside_the_box_are_empty(spark):
     points = spark.createDataFrame([(i, float(i % 10), float(i // 10)) for i in range(400)], "obs_id long, x double, y double")
-    got = geometry.thiessen(points, (-1.0, -1.0, 11.0, 11.0)).withColumns(geometry.area_perimeter()).agg(F.count("obs_id"), F.sum("area"), F.sum((F.col("area") == 0).cast("int"))).first()
+    got = voronoi.thiessen(points, (-1.0, -1.0, 11.0, 11.0)).withColumns(geometry.area_perimeter()).agg(F.count("obs_id"), F.sum("area"), F.sum((F.col("area") == 0).cast("int"))).first()
     assert got[0] == 400 and got[1] == pytest.approx(144) and got[2] > 200
-    whole = geometry.thiessen(points, geometry.extent(points, 1.0)).withColumns(geometry.area_perimeter()).agg(F.min("area"), F.sum("area")).first()
+    whole = voronoi.thiessen(points, geometry.extent(points, 1.0)).withColumns(geometry.area_perimeter()).agg(F.min("area"), F.sum("area")).first()
     assert whole[0] > 0 and whole[1] == pytest.approx(11 * 41)
 
 
