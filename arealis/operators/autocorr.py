@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arealis.functions.calc import seed_rank, standardize
 from arealis.functions.stats import normal_tail
 from arealis.operators.cut import cut
-from arealis.operators.permute import conditional_p
+from arealis.operators.permute import conditional_p, independent_p
 from arealis.operators.rank import hashed_rank, ranked
 
 
@@ -132,10 +132,10 @@ def lisa_pseudo_p(found: DataFrame, key: str, permutations: int, seed: int = 42,
     return found.join(large.select(key, _two_sided(F.col("_c"), permutations).alias("p")), key, "left").withColumn("sig", significance(F.col("p")))
 
 
-def lisa_pseudo_p_sampled(found: DataFrame, key: str, permutations: int = 499, seed: int = 42, value: str = "z", by: list[str] | None = None) -> DataFrame:
-    """Scale plan, see `permute`: adds p and sig, within each group of `by`."""
+def lisa_pseudo_p_sampled(found: DataFrame, key: str, permutations: int = 499, seed: int = 42, value: str = "z", by: list[str] | None = None, independent: bool = False) -> DataFrame:
+    """Scale plan, see `permute`: adds p and sig, within each group of `by`. With `independent`, every observation draws anew; else they share orderings, which is cheaper."""
     tests = {"p": (F.lit(0.0), F.col("z"), F.col("lisa"))}
-    return conditional_p(found, key, value, tests, permutations, seed, by).withColumn("sig", significance(F.col("p")))
+    return (independent_p if independent else conditional_p)(found, key, value, tests, permutations, seed, by).withColumn("sig", significance(F.col("p")))
 
 
 def save_lisa(found: DataFrame, key: str, level: float = 0.05) -> DataFrame:
@@ -205,6 +205,6 @@ def g_pseudo_p(found: DataFrame, key: str, x: str, permutations: int, seed: int
     return found.join(c.select(key, *[_two_sided(F.col(n), permutations).alias(n) for n in ("pp_g", "pp_star")]), key, "left")
 
 
-def g_pseudo_p_sampled(found: DataFrame, key: str, x: str, permutations: int = 499, seed: int = 42, binary: bool = False, by: list[str] | None = None) -> DataFrame:
-    """Scale plan, see `permute`: columns pp_g and pp_star, within each group of `by`."""
-    return conditional_p(_totals(found, x, by or []), key, x, _g_tests(x, binary), permutations, seed, by).drop("_total")
+def g_pseudo_p_sampled(found: DataFrame, key: str, x: str, permutations: int = 499, seed: int = 42, binary: bool = False, by: list[str] | None = None, independent: bool = False) -> DataFrame:
+    """Scale plan, see `permute`: columns pp_g and pp_star, within each group of `by`; `independent` as for LISA."""
+    return (independent_p if independent else conditional_p)(_totals(found, x, by or []), key, x, _g_tests(x, binary), permutations, seed, by).drop("_total")

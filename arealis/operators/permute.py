@@ -96,3 +96,67 @@ def conditional_p(found: DataFrame, key: str, value: str, tests: dict[str, tuple
         c = F.size(F.filter("_means", reached(lambda e: e))) + F.size(F.filter("_changed", reached(lambda e: e["now"]))) - F.size(F.filter("_changed", reached(lambda e: e["was"])))
         out[name] = F.when(F.col("_means").isNotNull() & stat.isNotNull(), (F.least(c, permutations - c) + 1) / (permutations + 1))
     return wide.withColumns(out).select(*found.columns, *out)
+
+
+#: Places that a task computes at once.
+AT_ONCE = 1 << 20
+
+
+def _own_streams(keys: np.ndarray, perms: np.ndarray) -> np.ndarray:
+    """A stream for each observation (by the hash of its key) and permutation: keys x perms."""
+    with np.errstate(over="ignore"):
+        return _mixed(_mixed(keys.astype("i8").view("u8"))[:, None] + perms.astype("u8")[None, :] * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _means(values: np.ndarray, k: int, own: int, stream: np.ndarray) -> np.ndarray:
+    """The mean of k distinct others in each permutation; `own` is the observation's place among the values, or -1."""
+    m = len(values) - (own >= 0)
+    at = place(np.tile(np.arange(k), len(stream)), np.full(k * len(stream), m), np.repeat(stream, k))
+    at += (at >= own) & (own >= 0)
+    return values[at].reshape(len(stream), k).mean(1)
+
+
+def independent_p(found: DataFrame, key: str, value: str, tests: dict[str, tuple[Column, Column, Column]], permutations: int = 499, seed: int = 42, by: list[str] | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """As `conditional_p`, but every observation draws anew in every permutation, so that p values of neighbours don't hang together.
+
+    The places of the draws come from a bijection keyed by seed, observation and permutation. While the values of all groups take at most
+    `most_bytes`, they go to every task and nothing is shuffled; beyond that the places are joined with the table of values. Both give the same draws.
+    """
+    by = by or []
+    spec = {f"_t{i}{c}": x.cast("double") for i, t in enumerate(tests.values()) for c, x in zip("abs", t, strict=True)}
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    found = cut(found.withColumn("_g", group))
+    pool = cut(hashed_rank(found.where(F.col(value).isNotNull()).select("_g", key, F.col(value).cast("double").alias("_v")), F.pmod(F.xxhash64(key), F.lit(4096)), [F.col(key)], "_at", ["_g"]).withColumn("_at", F.col("_at") - 1))
+    sizes = pool.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    placed = found.withColumns(spec).withColumn("_h", F.xxhash64(F.lit(seed), key, *by)).join(pool.select("_g", key, F.col("_at").alias("_own")), ["_g", key], "left").join(sizes, "_g", "left")
+    drawing = (F.col("k") > 0) & (F.col("_n") - F.when(F.col("_own").isNotNull(), 1).otherwise(0) >= F.col("k"))
+    live = placed.where(drawing).select("_g", key, "_h", F.col("k").cast("long").alias("k"), F.coalesce("_own", F.lit(-1)).alias("_own"), "_n", *spec)
+    names, kind = list(tests), found.schema[key].dataType.simpleString()
+    if pool.count() * 8 <= most_bytes:
+        values = {}
+        for batch in pool.select("_g", "_at", "_v").toArrow().to_pandas().groupby("_g"):  # checked to be at most most_bytes
+            values[batch[0]] = batch[1].sort_values("_at")["_v"].to_numpy()
+        perms = np.arange(1, permutations + 1)
+
+        def run(batches):
+            for pdf in batches:
+                counts = np.zeros((len(pdf), len(names)), "i8")
+                for r, (g, h, k, own) in enumerate(zip(pdf["_g"], pdf["_h"], pdf["k"], pdf["_own"], strict=True)):
+                    streams, step = _own_streams(np.array([h]), perms)[0], max(1, AT_ONCE // k)
+                    means = np.concatenate([_means(values[g], k, own, streams[i : i + step]) for i in range(0, permutations, step)])
+                    for t in range(len(names)):
+                        a, b, s = (pdf[f"_t{t}{c}"].iat[r] for c in "abs")
+                        counts[r, t] = int((a + b * means >= s).sum())
+                yield pd.DataFrame({"_g": pdf["_g"], key: pdf[key], **{f"_c{t}": counts[:, t] for t in range(len(names))}})
+
+        hits = live.mapInPandas(run, f"_g string, `{key}` {kind}, " + ", ".join(f"_c{t} long" for t in range(len(names))))
+    else:
+        own_stream = F.pandas_udf(lambda h, p: pd.Series(_mixed(_mixed(h.to_numpy("i8").view("u8")) + p.to_numpy("u8") * np.uint64(0x9E3779B97F4A7C15)).view("i8")), LongType())
+        draws = live.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_s", own_stream("_h", F.col("perm").cast("long")))
+        draws = draws.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("_at", _place("_j", F.col("_n") - F.when(F.col("_own") >= 0, 1).otherwise(0), "_s"))
+        draws = draws.withColumn("_at", F.col("_at") + F.when((F.col("_own") >= 0) & (F.col("_at") >= F.col("_own")), 1).otherwise(0))
+        means = draws.select("_g", key, "perm", "_at", *spec).join(pool.select("_g", "_at", "_v"), ["_g", "_at"]).groupBy("_g", key, "perm", *spec).agg(F.avg("_v").alias("_m"))
+        reached = lambda t: F.coalesce(F.col(f"_t{t}a") + F.col(f"_t{t}b") * F.col("_m") >= F.col(f"_t{t}s"), F.lit(False))
+        hits = means.groupBy("_g", key).agg(*[F.sum(F.when(reached(t), 1).otherwise(0)).alias(f"_c{t}") for t in range(len(names))])
+    out = {n: F.when(tests[n][2].isNotNull(), (F.least(F.col(f"_c{t}"), permutations - F.col(f"_c{t}")) + 1) / (permutations + 1)) for t, n in enumerate(names)}
+    return found.join(hits, ["_g", key], "left").withColumns(out).select(*[c for c in found.columns if c != "_g"], *out)

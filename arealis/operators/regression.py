@@ -278,7 +278,7 @@ def lanczos(s: DataFrame, keys: DataFrame, key: str, steps: int, vectors: int, s
             if live[i]:
                 found[i][0].append(alpha[i])
                 found[i][1].append(beta[i])
-                live[i] = beta[i] > 1e-10  # else the vector's space is exhausted, and its quadrature exact
+                live[i] = beta[i] > 1e-6  # else, but for rounding, the vector's space is exhausted, and its quadrature exact
         if not any(live):
             break
         state = moved.select("src", *[((F.col(f"a{c}") - F.lit(a) * F.col(c)) / F.lit(b if up else 1.0)).alias(c) for c, a, b, up in zip(names, alpha, beta, live, strict=True)], *[F.col(c).alias(f"p{c}") for c in names])

@@ -239,6 +239,18 @@ def _a15(t):
     return autocorr.g_pseudo_p(_getis(t), "obs_id", "v", 99)
 
 
+@query("a09_lisa_pseudo_p_independent", "obs_id:i p:f sig:i")
+def _a09i(t):
+    c = t.customers()
+    return autocorr.lisa_pseudo_p_sampled(autocorr.lisa(c, weights.knn(c, 6), "obs_id", "v"), "obs_id", 499, independent=True)
+
+
+@query("a15_g_pseudo_p_independent", "obs_id:i pp_g:f pp_star:f")
+def _a15i(t):
+    c = t.customers()
+    return autocorr.g_pseudo_p_sampled(autocorr.getis_ord(c, weights.knn(c, 6), "obs_id", "v"), "obs_id", "v", 499, independent=True)
+
+
 @query("a15_g_pseudo_p_sampled", "obs_id:i pp_g:f pp_star:f")
 def _a15s(t):
     c = t.customers().withColumn("v", F.col("v") + 1000)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arealis.operators import autocorr, weights
-from arealis.operators.permute import conditional_p, place
+from arealis.operators.permute import _means, _own_streams, conditional_p, independent_p, place
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 25, 1000, 4097])
@@ -106,3 +106,42 @@ def test_knn_of_clusters_and_coincident_points(spark):
     d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
     want = {(i, j) for i in range(len(pts)) for j in [j for j in np.lexsort((np.arange(len(pts)), d[i])) if j != i][:3]}
     assert got == want
+
+
+def test_own_draws_are_independent_and_leave_the_observation_out():
+    """The pairs of draws of two observations fill their cells evenly, which shared orderings can't; each draw is uniform over the others."""
+    n, perms = 6, np.arange(1, 20_001)
+    values = np.arange(n, dtype="f8")
+    one, two = (np.array([_means(values, 1, own, _own_streams(np.array([h]), perms)[0][i : i + 1])[0] for i in range(len(perms))]).astype(int) for own, h in ((0, 111), (3, 222)))
+    assert 0 not in one and 3 not in two
+    cells = np.bincount(one * n + two, minlength=n * n)
+    cells = cells[cells > 0]
+    expected = len(perms) / (n - 1) ** 2
+    chi, df = ((cells - expected) ** 2 / expected).sum(), (n - 1) ** 2 - 1
+    assert len(cells) == (n - 1) ** 2 and abs(chi - df) < 5 * np.sqrt(2 * df)
+    three = np.array([_means(values, 3, -1, s[None])[0] for s in _own_streams(np.array([5]), perms[:3000])[0]])
+    assert abs(three.mean() - values.mean()) < 5 * values.std() / np.sqrt(3 * 3000)
+
+
+def test_own_draws_by_both_plans(spark):
+    """Values in every task or joined: the same p; isolates, missing values, one group too small, a hub, and ties."""
+    rng = np.random.default_rng(4)
+    rows = [(t, i, None if i == 5 else float(rng.integers(0, 4)), 0 if i == 7 else (25 if i == 1 else 4)) for t in (1, 2) for i in range(30)] + [(3, 1, 2.0, 1)]
+    found = spark.createDataFrame(rows, "t int, id long, z double, k long").withColumn("stat", F.col("z") * 1.5)
+    tests = {"p": (F.lit(0.0), F.col("z"), F.col("stat")), "q": (F.col("z"), F.lit(1.0), F.lit(3.0))}
+    got = [{(r.t, r.id): (r.p, r.q) for r in independent_p(found, "id", "z", tests, 99, by=["t"], most_bytes=b).collect()} for b in (1 << 20, 0)]
+    assert got[0].keys() == got[1].keys() and len(got[0]) == 61
+    for at in got[0]:
+        assert got[0][at] == pytest.approx(got[1][at], nan_ok=True) if None not in got[0][at] else got[0][at] == got[1][at]
+    assert got[0][1, 7] == (None, None) and got[0][3, 1] == (None, None) and got[0][1, 5][0] is None and got[0][1, 5][1] is not None
+    assert got[0][1, 2] != got[0][2, 2] or got[0][1, 3] != got[0][2, 3]
+
+
+def test_own_draws_agree_with_all_orderings(spark):
+    """On a line of observations, p values come near those of the shared orderings."""
+    rng = np.random.default_rng(8)
+    obs = spark.createDataFrame([(i, float(np.sin(i / 6) + rng.normal() / 3)) for i in range(120)], "obs_id long, v double")
+    w = spark.createDataFrame([(i, j) for i in range(120) for j in (i - 1, i + 1) if 0 <= j < 120], "src long, dst long")
+    found = autocorr.lisa(obs, w, "obs_id", "v")
+    shared, own = ({r.obs_id: r.p for r in autocorr.lisa_pseudo_p_sampled(found, "obs_id", 999, independent=x).collect()} for x in (False, True))
+    assert max(abs(shared[i] - own[i]) for i in shared) < 0.09
