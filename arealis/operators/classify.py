@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.functions.calc import spread
+from arealis.operators.breaks import find_breaks
 from arealis.operators.rank import attach, hazen, hinges, in_order
 
 MOST_CLASSES = 10
@@ -58,51 +58,10 @@ def unique_values(df: DataFrame, x: str, out: str = "cat") -> DataFrame:
     return df.join(F.broadcast(numbered), x, "left")
 
 
-def best_breaks(values: np.ndarray, counts: np.ndarray, classes: int) -> list[float]:
-    """The least values of classes 2.. of the partition with the least squared deviations, by dynamic programming."""
-    values, counts = np.asarray(values, "f8"), np.asarray(counts, "f8")
-    m = len(values)
-    classes = min(classes, m)
-    n, s, q = (np.concatenate([[0.0], np.cumsum(c)]) for c in (counts, counts * values, counts * values * values))
-
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
-        k = n[j] - n[i]
-        return q[j] - q[i] - (s[j] - s[i]) ** 2 / np.where(k > 0, k, 1)
-
-    def fill(before: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best totals of c classes over each prefix: best cuts never move back, so the middle of a stretch bounds those of its halves."""
-        now, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        open_ = [(c, m, c - 1, m - 1)]
-        while open_:
-            lo, hi, first, last = open_.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(first, min(last, j - 1) + 1)
-            total = before[i] + cost(i, j)
-            at = int(total.argmin())
-            now[j], cut[j] = total[at], i[at]
-            open_ += [(lo, j - 1, first, int(i[at])), (j + 1, hi, int(i[at]), last)]
-        return now, cut
-
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
-    back = [np.zeros(m + 1, int)]
-    for c in range(1, classes + 1):
-        best, cut = fill(best, c)
-        back.append(cut)
-    cuts, j = [], m
-    for c in range(classes, 1, -1):
-        j = back[c][j]
-        cuts.append(float(values[j]))
-    return cuts[::-1]
-
-
 def natural_breaks(df: DataFrame, x: str, classes: int, out: str = "cat") -> DataFrame:
-    """Exact natural breaks at every size: the distinct values with their counts, 16 bytes each, come to the driver."""
-    table = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    rows = table.toArrow().sort_by("v")
-    return by_breaks(df, x, best_breaks(rows["v"].to_numpy(), rows["c"].to_numpy(), classes), out)
+    """Exact natural breaks at every size, see `breaks`; NULL falls into the last class."""
+    values = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return by_breaks(df, x, find_breaks(values, classes), out)
 
 
 def by_breaks(df: DataFrame, x: str, breaks: list[float], out: str = "cat") -> DataFrame:

@@ -37,11 +37,22 @@ _theme("m08_equal_intervals", lambda t: classify.equal_intervals(t.parts(), "pri
 _theme("m09_excess_risk", lambda t: classify.excess_risk_classes(t.parts().withColumn("r", F.col("p_size") / 10), "r"), PAR, "CASE WHEN p_size / 10 < 0.25 THEN 1 WHEN p_size / 10 < 0.5 THEN 2 WHEN p_size / 10 <= 1 THEN 3 WHEN p_size / 10 <= 2 THEN 4 WHEN p_size / 10 <= 4 THEN 5 ELSE 6 END")
 
 
-@query("m07_natural_breaks", "cat:i n:i min_v:f max_v:f")
+#: Every choice of three breaks among the distinct sizes, by sums up to each.
+NATURAL = """pre AS (SELECT p_size AS v, row_number() OVER (ORDER BY p_size) AS r, sum(count(*)) OVER (ORDER BY p_size) AS n, sum(count(*) * p_size) OVER (ORDER BY p_size) AS s, sum(count(*) * p_size * p_size) OVER (ORDER BY p_size) AS q FROM part GROUP BY p_size),
+spans AS (SELECT a.r AS lo, b.r AS hi, b.q - coalesce(p.q, 0) - (b.s - coalesce(p.s, 0)) * (b.s - coalesce(p.s, 0)) / CAST(b.n - coalesce(p.n, 0) AS DOUBLE) AS w FROM pre a JOIN pre b ON b.r >= a.r LEFT JOIN pre p ON p.r = a.r - 1),
+best AS (SELECT x.lo AS b2, y.lo AS b3, z.lo AS b4 FROM spans o JOIN spans x ON o.lo = 1 AND x.lo = o.hi + 1 JOIN spans y ON y.lo = x.hi + 1 JOIN spans z ON z.lo = y.hi + 1 AND z.hi = (SELECT max(r) FROM pre) ORDER BY o.w + x.w + y.w + z.w, b4, b3, b2 LIMIT 1)"""
+
+
+@query("m07_natural_breaks", "cat:i n:i min_v:f max_v:f", NATURAL, "SELECT cat, count(*) AS n, min(p_size) AS min_v, max(p_size) AS max_v FROM (SELECT p_size, 1 + (r >= b2)::INT + (r >= b3)::INT + (r >= b4)::INT AS cat FROM part JOIN pre ON v = p_size, best) GROUP BY cat")
 def _m07(t):
     return classify.legend(classify.natural_breaks(t.parts(), "p_size", 4), "p_size")
 
 
+@query("m07_natural_breaks_price", "cat:i n:i min_v:f max_v:f")
+def _m07p(t):
+    return classify.legend(classify.natural_breaks(t.orders, "o_totalprice", 5), "o_totalprice")
+
+
 @query("m07_goodness_of_fit", "gvf:f", PAR, "SELECT 1 - sum(w) / any_value(tt) AS gvf FROM (SELECT var_pop(p_size) * count(*) AS w FROM par GROUP BY CASE WHEN p_size < 12 THEN 1 WHEN p_size < 25 THEN 2 WHEN p_size < 38 THEN 3 ELSE 4 END), (SELECT var_pop(p_size) * count(*) AS tt FROM par)")
 def _m07g(t):
     return classify.goodness_of_fit(classify.by_breaks(t.parts(), "p_size", [12.0, 25.0, 38.0]), "p_size")

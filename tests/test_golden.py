@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from arealis.functions import calc, stats
-from arealis.operators import autocorr, classify, explore, geometry, rank, rates, regression, select, tables, voronoi, weights
+from arealis.operators import autocorr, breaks, classify, explore, geometry, rank, rates, regression, select, tables, voronoi, weights
 
 
 def frame(spark, values, schema="obs_id long, v double"):
@@ -71,7 +71,7 @@ def test_unique_values_fall_back_to_natural_breaks(spark):
 
 
 def test_natural_breaks_find_the_groups():
-    assert classify.best_breaks(np.array([1.0, 2, 10, 11, 30]), np.ones(5), 3) == [10.0, 30.0]
+    assert breaks.best_breaks(np.array([1.0, 2, 10, 11, 30]), np.ones(5), 3) == [10.0, 30.0]
 
 
 def test_constant_data(spark):
