@@ -16,18 +16,23 @@ RANGES, MOST_RANGES = 64, 1024
 SAMPLE = 8
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """A column as a double; dates as days since 1970."""
+    return (F.unix_date(column) if dict(df.dtypes)[column] == "date" else F.col(column)).cast("double")
+
+
 def _cuts(df: DataFrame, column: str, ranges: int) -> DataFrame:
     """One row: the places where the ranges of a column meet, in order; at most `ranges` of them."""
     known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
     if dict(df.dtypes)[column] == "string":
         drawn = known.orderBy(F.xxhash64("v"), "v").limit(SAMPLE * ranges).agg(F.sort_array(F.collect_list("v")).alias("c"))
         return drawn.select(F.filter("c", lambda _, i: i % SAMPLE == SAMPLE - 1).alias("_cuts"))
-    return known.agg(F.coalesce(F.percentile_approx(F.col("v").cast("double"), [k / ranges for k in range(1, ranges)], 10 * ranges), F.expr("cast(array() as array<double>)")).alias("_cuts"))
+    return known.agg(F.coalesce(F.percentile_approx(_number(known, "v"), [k / ranges for k in range(1, ranges)], 10 * ranges), F.expr("cast(array() as array<double>)")).alias("_cuts"))
 
 
 def _ranged(df: DataFrame, column: str, out: str, ranges: int) -> DataFrame:
     """Add the number of a row's range, -1 for NULL."""
-    value = F.col(column) if dict(df.dtypes)[column] == "string" else F.col(column).cast("double")
+    value = F.col(column) if dict(df.dtypes)[column] == "string" else _number(df, column)
     over = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < value))
     return df.crossJoin(F.broadcast(_cuts(df, column, ranges))).withColumn(out, F.when(F.col(column).isNull(), F.lit(-1)).otherwise(over)).drop("_cuts")
 
@@ -66,8 +71,9 @@ def hashed_rank(df: DataFrame, bucket: Column, order: list[Column], out: str, by
 
 
 def _positions(df: DataFrame, x: str, by: list[str], key: str) -> DataFrame:
-    """Non-null values with rank r and count n."""
+    """Non-null values with rank r and count n; dates as days since 1970."""
     clean = df.where(F.col(x).isNotNull())
+    clean = clean.withColumn(x, _number(df, x)) if dict(df.dtypes)[x] == "date" else clean
     r = ranked(clean, x, "_r", by=by, ties=[key])
     n = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else clean.agg(F.count(F.lit(1)).alias("_n"))
     return r.join(F.broadcast(n) if not by else n, by) if by else r.crossJoin(F.broadcast(n))

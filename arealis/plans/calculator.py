@@ -247,6 +247,14 @@ def _d06(t):
     return hinges(t.parts(), "price", "obs_id")
 
 
+DAYS = "par AS (SELECT o_orderkey AS obs_id, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS price FROM orders), " + RANKS.partition(", ")[2][RANKS.partition(", ")[2].index("rk AS") :]
+
+
+@query("d06_hinges_of_dates", "n:i q1:f q2:f q3:f", DAYS, HINGES)
+def _d06d(t):
+    return hinges(t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day", "o_orderkey")
+
+
 def _haz(p: float) -> str:
     e = f"least(greatest({p}::DOUBLE * n / 100 + 0.5, 1.0), n)"
     low, high = f"max(CASE WHEN r = floor({e}) THEN price END)", f"max(CASE WHEN r = ceil({e}) THEN price END)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arealis.functions.calc import standardize
 from arealis.functions.stats import simple_regression, summary
-from arealis.operators import classify, explore, geometry, rates, regression, voronoi, weights
+from arealis.operators import classify, explore, geometry, rates, regression, rings, voronoi, weights
 from arealis.operators.cut import cut
 from arealis.plans.base import CUS, LAG, NAT, NY, PAR, SUP, VAL, WQ, query
 from arealis.plans.calculator import HINGES, RANKS, REG, _haz
@@ -258,6 +258,29 @@ def _g09(t):
     return t.lattice().withColumns(geometry.bounding_box())
 
 
+def _square(half, turned):
+    """Corners of a closed square around x, y; clockwise unless `turned`."""
+    at = lambda a, b: F.struct((F.col("x") + a * half).alias("x"), (F.col("y") + b * half).alias("y"))
+    ring = F.array(at(-1, -1), at(-1, 1), at(1, 1), at(1, -1), at(-1, -1))
+    return F.when(turned, F.reverse(ring)).otherwise(ring)
+
+
+#: Donuts with islands around suppliers: rings in three orders, half of the outer and a third of the inner ones turned the wrong way, and two donuts side by side.
+@query("g09_ring_nesting", "obs_id:i depths:s area:f perimeter:f turns:s", SUP, "SELECT obs_id, CASE obs_id % 3 WHEN 0 THEN '0,1,2,0,1' WHEN 1 THEN '2,1,0,0,1' ELSE '1,2,0,1,0' END AS depths, 100 * (64 - 36 + 4 + 16 - 1) AS area, 10 * (32 + 24 + 8 + 16 + 4) AS perimeter, CASE obs_id % 3 WHEN 0 THEN 'r,l,r,r,l' WHEN 1 THEN 'r,l,r,r,l' ELSE 'l,r,r,l,r' END AS turns FROM sup")
+def _g09n(t):
+    s = t.suppliers()
+    odd = F.col("obs_id") % 2 == 1
+    third = F.col("obs_id") % 3 == 1
+    outer, hole, island = _square(40, odd), _square(30, third), _square(10, odd)
+    beside = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + 70).alias("x"), p["y"].alias("y")))
+    other, gap = beside(_square(20, ~odd)), beside(_square(5, odd))
+    order = lambda *r: F.concat(*r)
+    points = F.when(F.col("obs_id") % 3 == 0, order(outer, hole, island, other, gap)).when(third, order(island, hole, outer, other, gap)).otherwise(order(hole, island, outer, gap, other))
+    shape = F.struct(F.lit(geometry.POLYGON).alias("type"), F.array(*map(F.lit, range(0, 25, 5))).alias("parts"), points.alias("points"))
+    turn = F.expr("array_join(transform(sequence(0, 4), i -> if(aggregate(sequence(5 * i, 5 * i + 3), cast(0 as double), (a, j) -> a + (geom.points[j].x - x) * (geom.points[j + 1].y - y) - (geom.points[j + 1].x - x) * (geom.points[j].y - y)) < 0, 'r', 'l')), ',')")
+    return rings.repair(s.withColumn("geom", shape)).withColumns(geometry.area_perimeter()).withColumns({"turns": turn, "depths": F.array_join("depths", ",")})
+
+
 @query("g10_point_line_distance", "obs_id:i d:f meets:b", CUS, "SELECT obs_id, sqrt((x - 30 * u) * (x - 30 * u) + (y - 20 * u) * (y - 20 * u)) AS d, x <= 12 AND x + 1 >= 5 AND y <= 9 AND y + 1 >= 3 AS meets FROM (SELECT *, least(1, greatest(0, (x * 30 + y * 20) / 1300)) AS u FROM cus)")
 def _g10(t):
     c = t.customers()

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from arealis.operators import rank
 from arealis.operators.rank import ranked
 
 RNG = random.Random(8)
@@ -21,3 +23,13 @@ def test_ranks(spark, kind, descending):
     assert got == {k: i + 1 for i, (_, k) in enumerate(want)}
     assert dict(ranked(df, "v", "r").dtypes)["r"] == "bigint"
     assert ranked(df.limit(0), "v", "r", ties=["k"]).count() == 0
+
+
+def test_dates(spark):
+    """Ranks and hinges of dates, with ties and missing ones, alone and by group."""
+    days = [None, "2001-01-05", "2001-01-01", "2001-01-05", "1969-12-31"]
+    df = spark.createDataFrame([(i, i % 2, d) for i, d in enumerate(days)], "k long, g int, s string").select("k", "g", F.to_date("s").alias("day"))
+    assert {r.k: r.r for r in rank.ranked(df, "day", "r", ties=["k"]).collect()} == {0: 1, 4: 2, 2: 3, 1: 4, 3: 5}
+    assert {r.k: r.r for r in rank.ranked(df, "day", "r", by=["g"], ties=["k"]).collect()} == {0: 1, 4: 2, 2: 3, 1: 1, 3: 2}
+    row = rank.hinges(df, "day", "k").first()
+    assert (row.n, row.min, row.max, row.q2) == (4, -1.0, 11327.0, (11323 + 11327) / 2)
