@@ -104,3 +104,14 @@ def simple_regression(df: DataFrame, x: str, y: str, by: list[str] | None = None
     s = s.withColumn("se_slope", F.sqrt(F.try_divide(sigma2, F.col("n") * F.col("_vx")))).withColumn("se_intercept", F.sqrt(sigma2 * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.col("_mx") * F.col("_mx"), F.col("n") * F.col("_vx")))))
     s = s.withColumn("t_slope", F.when(F.col("se_slope") > 16 * 2.2250738585072014e-308, F.try_divide("slope", "se_slope")).otherwise(100.0))
     return s.drop("_mx", "_my", "_vx", "_vy", "_c")
+
+
+def tail_column(fn, *columns: Column) -> Column:
+    """One of the tails above as a column, NULL where an argument is."""
+    import pandas as pd
+
+    def run(*parts: pd.Series) -> pd.Series:
+        return pd.Series([None if any(v is None or v != v for v in row) else fn(*map(float, row)) for row in zip(*parts, strict=True)], dtype="f8")
+
+    several = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}[len(columns)]
+    return F.pandas_udf(several, "double")(*[c.cast("double") for c in columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arealis.plans import calculator, files, spatial, views  # noqa: F401
+from arealis.plans import calculator, details, files, spatial, views  # noqa: F401
 from arealis.plans.base import REGISTRY
 
 
