@@ -102,7 +102,9 @@ def _runs(texts: DataFrame, parts: DataFrame, live: DataFrame, threshold: float)
     """Per run: row, place (line of its start), stop (line of its end), license, dice.
 
     A best run starts where a stretch of template pairs starts and ends where one ends: a neighbouring pair of the template
-    never lowers the score. So all starts meet all ends of their row and template within `most` times the template's words.
+    never lowers the score. A run is at most `most` times the template's words long. So places are cut into blocks of that length, starts
+    meet the ends of their own block and the next, and only those of blocks that hold enough of the template's distinct pairs together
+    with the next: a long text is many blocks, and its work grows with its length.
     """
     most = (2 - threshold) / threshold
     pairs = _placed(texts)
@@ -110,16 +112,27 @@ def _runs(texts: DataFrame, parts: DataFrame, live: DataFrame, threshold: float)
     near = pairs.withColumn("prev", F.coalesce(F.lag("p").over(same), F.lit(-1)))
     known = parts.select("license", "pair", F.lit(1).alias("hit"))
     by_place = Window.partitionBy("row", "license").orderBy("p")
-    spots = near.join(live, "row").join(F.broadcast(known), ["license", "pair"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    spots = store(spots.withColumns({"first": (F.col("hit") == 1) & (F.coalesce(F.lag("hit").over(by_place), F.lit(0)) == 0), "last": (F.col("hit") == 1) & (F.coalesce(F.lead("hit").over(by_place), F.lit(0)) == 0)}).drop("pair"), "license-spots")
-    starts = spots.where("first").select("row", "license", F.col("p").alias("s"), F.col("a").alias("place"))
-    grown = starts.join(spots, ["row", "license"]).where((F.col("p") >= F.col("s")) & (F.col("p") - F.col("s") + 2 <= F.greatest(F.col("words") * most, F.col("words") + 1)))
+    spots = near.join(live, "row").join(known, ["license", "pair"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    width = F.ceil(F.greatest(F.col("words") * most, F.col("words") + 1))
+    edges = {"first": (F.col("hit") == 1) & (F.coalesce(F.lag("hit").over(by_place), F.lit(0)) == 0), "last": (F.col("hit") == 1) & (F.coalesce(F.lead("hit").over(by_place), F.lit(0)) == 0)}
+    spots = store(spots.withColumns(edges).drop("pair").withColumn("width", width).withColumn("block", F.floor(F.col("p") / F.col("width"))), "license-spots")
+    # distinct pairs of the template in a block and the next, counted in the block
+    seen = F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block")
+    dense = spots.where("hit = 1").select("row", "license", "prev", "width", "other", seen).where(F.col("prev") < F.col("block") * F.col("width"))
+    dense = dense.groupBy("row", "license", "block", "other").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold / (2 - threshold) * F.col("other") - 1e-9)
+    starts = spots.where("first").select("row", "license", "block", F.col("p").alias("s"), F.col("a").alias("place")).join(dense.select("row", "license", "block"), ["row", "license", "block"], "left_semi")
+    starts = starts.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+    grown = starts.join(spots, ["row", "license", "block"]).where((F.col("p") >= F.col("s")) & (F.col("p") - F.col("s") + 2 <= F.greatest(F.col("words") * most, F.col("words") + 1)))
     so_far = Window.partitionBy("row", "license", "s").orderBy("p")
     fresh = F.when(F.col("prev") < F.col("s"), 1).otherwise(0)
     scored = grown.withColumns({"n": F.sum(fresh * F.col("hit")).over(so_far), "size": F.sum(fresh).over(so_far)}).where("last").withColumn("dice", 2 * F.col("n") / (F.col("size") + F.col("other"))).where(F.col("dice") >= threshold)
     best = Window.partitionBy("row", "license", "s").orderBy(F.desc("dice"), "p")
     tops = scored.withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    listed = tops.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("dice")).alias("dice"), (-F.col("n")).alias("n"), "license", "s", F.col("p").alias("e"), "place", F.col("b").alias("stop")))).alias("found"))
+    # runs that overlap, directly or by others between them, are one island
+    before = F.max("p").over(Window.partitionBy("row").orderBy("s", "p").rowsBetween(Window.unboundedPreceding, -1))
+    apart = tops.withColumn("apart", F.when(F.col("s") <= F.coalesce(before, F.lit(-1)), 0).otherwise(1))
+    islands = apart.withColumn("island", F.sum("apart").over(Window.partitionBy("row").orderBy("s", "p").rowsBetween(Window.unboundedPreceding, 0)))
+    listed = islands.groupBy("row", "island").agg(F.array_sort(F.collect_list(F.struct((-F.col("dice")).alias("dice"), (-F.col("n")).alias("n"), "license", "s", F.col("p").alias("e"), "place", F.col("b").alias("stop")))).alias("found"))
 
     def covers(o: Column, c: Column) -> Column:
         common = F.least(o["e"], c["e"]) - F.greatest(o["s"], c["s"]) + 1
