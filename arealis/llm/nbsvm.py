@@ -5,7 +5,7 @@ hashed into 2**BITS places. Each indicator is scaled by the log ratio of its smo
 to unit length. A linear hinge-loss model with a bias is fitted by dual coordinate descent, classes weighted alike;
 a logistic curve fitted on rows kept out of that fit turns margins into scores.
 
-The fit uses at most `train_rows` labelled rows, those whose ids have the smallest hashes; their indicator sets, not their
+The fit uses at most `train_rows` labels, those whose ids have the smallest hashes, with one text each (of several, the one of the smallest hash); their indicator sets, not their
 texts, come to the driver. Every row is scored, from its whole text alone.
 
 Defined results: a null text counts as empty and an empty one is scored by the bias; labels other than 0 and 1 are left out;
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arealis.llm.common import map_rows, release, text_or_empty
+from arealis.llm.common import map_rows, release, text_key, text_or_empty
 
 BITS = 18
 #: Byte n-gram lengths and the lengths of repetition n-grams.
@@ -126,7 +126,9 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("y")).distinct()
     chosen = known.orderBy(F.xxhash64("key"), "key", "y").limit(train_rows)
-    texts = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "key")  # at most train_rows rows
+    a, b = text_key(text_or_empty(text_col))
+    met = docs.select(F.col(id_col).alias("key"), a.alias("a"), b.alias("b"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "key")
+    texts = met.groupBy("key", "y").agg(F.min_by("text", F.struct("a", "b")).alias("text"))  # at most train_rows rows, however often an id stands
 
     def rows(part: pa.RecordBatch) -> dict:
         sets = [indicators(t) for t in part.column("text").to_pylist()]

@@ -62,10 +62,11 @@ def tokens_of(data: bytes, words: int) -> np.ndarray:
     return np.unique(gram_hashes(symbols, words) if len(symbols) >= words else gram_hashes(symbols, len(symbols)))
 
 
-def set_key(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits that equal sets share."""
+def set_key(tokens: np.ndarray, salt: int = 0, bits: int = 64) -> tuple[int, int]:
+    """128 bits that equal sets share: the first `bits` of 64 that depend on the salt, and 64 that don't."""
     with np.errstate(over="ignore"):
-        return int(mix(tokens).sum(dtype="u8").view("i8")), int(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype="u8").view("i8"))
+        first = mix(tokens ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))).sum(dtype="u8") >> np.uint64(64 - bits)
+        return int(first.view("i8")), int(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype="u8").view("i8"))
 
 
 def needed(n, share: int):
@@ -212,16 +213,18 @@ def shared_tokens(blocks: DataFrame, dealing: tuple[list[int], int], heads: T.St
         known = [(np.frombuffer(s, "i8")[np.frombuffer(at, "<u4")], long(t), np.frombuffer(p, "u4")) for kind, s, at, t, p in rows if kind == 0]
         s1, token, pos = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.empty(0, k) for k in ("i8", "u8", "u4"))
         names = np.unique(np.concatenate([long(t) for kind, _, _, t, _ in rows if kind == 2] or [np.empty(0, "u8")]))
-        order = np.lexsort((s1, token))
+        order = np.lexsort((pos, s1, token))
         s1, token, pos = s1[order], token[order], pos[order]
         first = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.empty(0, bool)
         fresh = first.copy()
         fresh[1:] |= s1[1:] != s1[:-1]
+        place = fresh.copy()  # a set may hold two tokens that agree in 48 bits: both places stay
+        place[1:] |= pos[1:] != pos[:-1]
         starts = np.flatnonzero(first)
         count = np.add.reduceat(fresh.astype("i4"), starts) if len(starts) else np.empty(0, "i4")
         often = (count > RARE) | np.isin(token[starts], names)
         sizes = np.diff(np.append(starts, len(token)))
-        keep = fresh & np.repeat((count > 1) | often, sizes)
+        keep = place & np.repeat((count > 1) | often, sizes)
         code = token * np.uint64(2) + np.repeat(often, sizes)
         dealt = [(np.frombuffer(s, "i8")[np.frombuffer(at, "<u4")], long(t) * np.uint64(2) + np.uint64(1), np.frombuffer(p, "u4")) for kind, s, at, t, p in rows if kind == 1]
         return widened(*(np.concatenate(x) for x in zip((s1[keep], code[keep], pos[keep]), *dealt, strict=True)))
@@ -394,7 +397,10 @@ def _in_blocks(apart: DataFrame, codes: DataFrame, share: int) -> DataFrame:
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         s1, n, comp, side, codes = zip(*rows, strict=True)
         s1, n, comp, side = (np.array(x) for x in (s1, n, comp, side))
-        token, column = np.unique(np.concatenate(codes), return_inverse=True)
+        # codes are in order, so a code that a set holds twice stands beside itself; the second counts as a token of its own
+        again = np.concatenate([np.arange(len(c)) - np.searchsorted(c, c) for c in codes])
+        token, column = np.unique(np.stack([np.concatenate(codes), again]), axis=1, return_inverse=True) if again.any() else np.unique(np.concatenate(codes), return_inverse=True)
+        token, column = token.reshape(-1, token.shape[-1])[0], column.ravel()
         row = np.repeat(np.arange(len(s1)), [len(c) for c in codes])
         common = np.zeros((len(s1), len(s1)), "f4")
         for at in range(0, len(token), COLUMNS):
@@ -481,8 +487,20 @@ def join(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_same", F.lit(1)).alias("n_same"))
 
 
-def groups(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, a, b (the text's key), s1, s2 (the set's key), n (its size) and comp, the same number for all rows that links join."""
+def groups(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """Per row: id, a, b (the text's key), s1, s2 (the set's key), n (its size) and comp, the same number for all rows that links join.
+
+    Within a run s1 alone names a set. Should two sets share one (of `bits` bits), which s2 tells, the run starts again with another salt.
+    """
+    for salt in range(8):
+        found = _grouped(docs, share, words, id_col, text_col, salt, bits)
+        if found is not None:
+            return found
+    raise ValueError("sets can't be told apart by so few bits")
+
+
+def _grouped(docs: DataFrame, share: int, words: int, id_col: str, text_col: str, salt: int, bits: int) -> DataFrame | None:
+    """The groups, or None if two sets share their s1."""
     with Scratch() as scratch:
         border = np.uint64(FIRST << 56)
         dealing = _dealing(docs)
@@ -493,7 +511,7 @@ def groups(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_
             out = []
             for name, x, y, t in zip(*(part.column(c).to_pylist() for c in ("id", "a", "b")), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 tokens = tokens_of(t, words)
-                (s1, s2), first = set_key(tokens), tokens[: np.searchsorted(tokens, border)].copy()
+                (s1, s2), first = set_key(tokens, salt, bits), tokens[: np.searchsorted(tokens, border)].copy()
                 out.append((s1, first, 0, (s1, name, x, y, s2, len(tokens), len(first))))
             return out
 
@@ -501,6 +519,9 @@ def groups(docs: DataFrame, share: int = 80, words: int = 5, id_col: str = "doc_
         base = docs.select(F.col(id_col).alias("id"), a.alias("a"), b.alias("b"), text_or_empty(text_col).alias("text"))
         both = scratch.keep(store(shared_tokens(_blocks(base, "text", first_sets, dealing, heads), dealing, heads), "jaccard-shared", even=True))
         head = both.where("code is null").drop("code", "pos")
+        if not head.groupBy("s1").agg(F.min("s2").alias("low"), F.max("s2").alias("high")).where("low < high").isEmpty():
+            scratch.kept.clear()
+            return None
         nodes = head.where("n > 0").groupBy("s1").agg(F.min(F.struct("a", "b")).alias("t"), F.max("n").alias("n"), F.max("first").alias("first")).select("s1", "n", "first", "t.a", "t.b")
         shared = both.where("code is not null")
         lists = shared.groupBy("s1").agg(F.collect_set(F.struct("pos", "code")).alias("tokens"))

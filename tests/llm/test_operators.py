@@ -309,3 +309,40 @@ def test_index_reopened(spark):
     again.compact()
     last = window_index.FingerprintIndex.open(spark, index.path)
     assert len(last.state["grams"]) == 1 and last.keys().count() == again.keys().count() > 0
+
+
+def test_sets_that_share_a_key(spark):
+    """With six bits for the key of a set, different sets meet in one; they stay apart, and copies and links stay together."""
+    rng = random.Random(21)
+    base = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(9)]
+    texts = base + [base[0], base[1].replace(base[1].split()[30], "changed", 1), base[2].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    keys = [ngram_jaccard.set_key(ngram_jaccard.tokens_of(t.encode(), 5), 0, 6)[0] for t in base]
+    assert len(set(keys)) < len(keys)  # the first salt must not do
+    whole, few = ({r.id: r.comp for r in ngram_jaccard.groups(docs, bits=b).collect()} for b in (64, 6))
+    apart = lambda found: {frozenset(i for i in found if found[i] == c) for c in found.values()}
+    assert apart(whole) == apart(few) == {frozenset(x) for x in ([0, 9], [1, 10], [2, 11], [3], [4], [5], [6], [7], [8])}
+    with pytest.raises(ValueError):
+        ngram_jaccard.groups(docs, bits=2)
+
+
+def test_tokens_that_agree_in_48_bits():
+    """Blocks count both places of a set's two tokens whose first 48 bits agree."""
+    import numpy as np
+
+    block = ngram_jaccard.Block([0], 1)
+    tokens = np.array([(5 << 16) + 1, (5 << 16) + 2, (9 << 16)], "u8")
+    block.add(1, tokens, 0)
+    block.add(2, tokens, 0)
+    (row,) = [r for r in block.rows() if r[2] == 0]
+    assert len(ngram_jaccard.long(row[5])) == 6
+
+
+def test_one_training_text_for_each_id(spark):
+    """An id that stands on many texts gives one row to the fit; ties at the threshold count as predicted."""
+    docs = spark.createDataFrame([(1, f"good text {i}") for i in range(50)] + [(i, "good words" if i % 2 else "bad noise") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    model = nbsvm.train(docs, labels, train_rows=200)
+    assert model.score(nbsvm.indicators("good words")) > 0.5 > model.score(nbsvm.indicators("bad noise"))
+    top = max(r.score for r in nbsvm.classify(docs, labels).collect())
+    assert any(r.predicted == 1 and r.score == top for r in nbsvm.classify(docs, labels, threshold=top).collect())
