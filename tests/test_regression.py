@@ -11,7 +11,7 @@ from arealis.operators import regression
 
 @pytest.fixture(scope="module")
 def lattice(spark):
-    side = 45
+    side = 30
     cells = spark.range(side * side).select(F.col("id").alias("obs_id"))
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
     pairs = cells.withColumn("s", steps).select(F.col("obs_id").alias("src"), (F.col("obs_id") % side + F.col("s.a")).alias("x"), (F.floor(F.col("obs_id") / side) + F.col("s.b")).alias("y"))
@@ -22,11 +22,11 @@ def lattice(spark):
 def test_quadratures_within_their_error(lattice):
     cells, w = lattice
     true = regression.log_det(w, cells)
-    found = regression.log_det(w, cells, steps=26, vectors=12, exact=0)
+    found = regression.log_det(w, cells, steps=18, vectors=8, exact=0)
     assert true.error(0.9) == 0.0
     for r in (-0.95, -0.5, 0.0, 0.3, 0.6, 0.8, 0.9, 0.95):
         assert abs(found(r) - true(r)) <= 4 * found.error(r) + 1e-3, r
-        assert found.error(r) <= 0.01 * 2025
+        assert found.error(r) <= 0.02 * 900
     assert found(0.0) == 0.0
 
 
