@@ -204,8 +204,14 @@ def _g05(t):
     return geometry.grid(t.spark, 12, 8, 0.0, 0.0, 4.0, 3.0).withColumns(geometry.centroid())
 
 
-@query("g06_thiessen", "n:i empty:i total:f", CUS, "SELECT count(*) AS n, 0 AS empty, (max(x) - min(x) + 2) * (max(y) - min(y) + 2) AS total FROM cus")
+@query("g06_thiessen", "n:i total:f", "", "SELECT count(*) AS n, 12.0 * 12.0 AS total FROM supplier")
 def _g06(t):
+    cells = voronoi.thiessen(t.suppliers(), (-1.0, -1.0, 11.0, 11.0))
+    return cells.withColumns(geometry.area_perimeter()).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("total"))
+
+
+@query("g06_thiessen_customers", "n:i empty:i total:f", CUS, "SELECT count(*) AS n, 0 AS empty, (max(x) - min(x) + 2) * (max(y) - min(y) + 2) AS total FROM cus")
+def _g06_customers(t):
     cells = voronoi.thiessen(t.customers(), geometry.extent(t.customers(), 1.0))
     return cells.withColumns(geometry.area_perimeter()).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("area") <= 0).alias("empty"), F.sum("area").alias("total"))
 
