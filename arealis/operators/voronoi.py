@@ -3,12 +3,12 @@
 A cell starts as the box and is cut by sites near its own, found in rings of grid cells. A site q can cut the cell of p only while some corner
 of it is nearer to q than to p, so each round looks for such sites alone, takes the nearest of them, and cuts. A cell is certain once none is
 left and twice its radius lies within the cells that were searched; the others go on with cells four times as wide. Nothing comes to the
-driver, and no site meets more than MOST others in one round.
+driver, and no site meets more than MOST others in one round. Only a few sites (FEW, counted) are sent to every task instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,14 @@ from arealis.operators.weights import _finest, _spread
 
 #: Sites that cut a cell in one round at most, and grid cells around a site that are searched.
 MOST, REACH = 64, 2
+#: Sites (24 bytes each) that go to every task, where each cell is cut at once.
+FEW = 4096
 #: What stands across an edge of the box.
 OUTSIDE = -1
 CELL = "ring array<struct<x:double,y:double>>, beside array<long>"
 
 
-def cut_cell(corners: list[tuple[float, float]], beside: list[int], others: list[tuple[float, float, int]]) -> tuple[list[tuple[float, float]], list[int]]:
+def cut_cell(corners: list[tuple[float, float]], beside: list[int], others: Iterable[tuple[float, float, int]]) -> tuple[list[tuple[float, float]], list[int]]:
     """A convex cell around the origin after cuts by others (x, y, number), nearest first. Edge i runs from corner i to the next, with beside[i] across it.
 
     A cut that only touches a corner changes nothing.
@@ -83,7 +85,27 @@ def _searched(open_cells: DataFrame, sites: DataFrame, size: float) -> DataFrame
     return rows.mapInArrow(_cut_rows, f"obs_id long, x double, y double, {CELL}, needs double, c long")
 
 
-def cells(points: DataFrame, box: tuple[float, float, float, float], per_cell: float = 2.0) -> DataFrame:
+def _cut_at_once(sites: DataFrame) -> DataFrame:
+    """sites with ring and beside, cut by all others, nearest first; these come to the driver and go to every task."""
+    table = sites.select("obs_id", "x", "y").toArrow()
+    ids, xs, ys = (table.column(c).to_numpy() for c in ("obs_id", "x", "y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings, besides = [], []
+            for own, x, y, ring, beside in zip(*(batch.column(c).to_pylist() for c in ("obs_id", "x", "y", "ring", "beside")), strict=True):
+                order = np.lexsort((ids, (xs - x) ** 2 + (ys - y) ** 2))
+                others = ((float(xs[j]) - x, float(ys[j]) - y, int(ids[j])) for j in order if ids[j] != own)
+                corners, beside = cut_cell([(v["x"] - x, v["y"] - y) for v in ring], beside, others)
+                rings.append([{"x": vx + x, "y": vy + y} for vx, vy in corners])
+                besides.append(beside)
+            spot = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rings, pa.list_(spot)), pa.array(besides, pa.list_(pa.int64()))], names=["obs_id", "x", "y", "ring", "beside"])
+
+    return sites.select("obs_id", "x", "y", "ring", "beside").mapInArrow(run, f"obs_id long, x double, y double, {CELL}")
+
+
+def cells(points: DataFrame, box: tuple[float, float, float, float], per_cell: float = 2.0, few: int = FEW) -> DataFrame:
     """(obs_id, x, y, ring, beside): the part of the box nearer to each site than to any other, corners clockwise and not closed; beside[i] is the
     site across the edge that starts at corner i, or OUTSIDE.
 
@@ -98,6 +120,8 @@ def cells(points: DataFrame, box: tuple[float, float, float, float], per_cell: f
     n, widest, size = _spread(sites, ("x", "y"), per_cell)
     if n < 2:
         return sites.withColumns(start)
+    if n <= few:
+        return _cut_at_once(sites.repartition(sites.sparkSession.sparkContext.defaultParallelism).withColumns(start))
     size = _finest(sites, size)
     waiting, found = sites.withColumns(start), None
     while True:
@@ -119,20 +143,20 @@ def cells(points: DataFrame, box: tuple[float, float, float, float], per_cell: f
         size *= 4
 
 
-def thiessen(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+def thiessen(points: DataFrame, box: tuple[float, float, float, float], few: int = FEW) -> DataFrame:
     """points with geom, their Voronoi cell clipped to the box (closed clockwise ring); other columns are carried along."""
     closed = F.when(F.size("ring") > 0, F.concat("ring", F.slice("ring", 1, 1))).otherwise(F.col("ring"))
     geom = F.struct(F.lit(POLYGON).alias("type"), F.array(F.lit(0)).alias("parts"), closed.alias("points")).cast(GEOM)
-    return points.join(cells(points, box).select(F.col("obs_id").alias("_id"), geom.alias("geom")), F.col("obs_id") == F.col("_id")).drop("_id")
+    return points.join(cells(points, box, few=few).select(F.col("obs_id").alias("_id"), geom.alias("geom")), F.col("obs_id") == F.col("_id")).drop("_id")
 
 
-def neighbours(points: DataFrame, box: tuple[float, float, float, float], least: float = 1e-9) -> DataFrame:
+def neighbours(points: DataFrame, box: tuple[float, float, float, float], least: float = 1e-9, few: int = FEW) -> DataFrame:
     """W(src, dst, w): sites whose cells share an edge inside the box, w its length: the Delaunay neighbours that meet there.
 
     Of cocircular sites, whose cells meet in a point, only those with an edge longer than `least` parts of the box's diagonal are neighbours.
     """
     diagonal = float(np.hypot(box[2] - box[0], box[3] - box[1]))
-    edges = cells(points, box).select("obs_id", F.explode(F.expr("transform(ring, (p, i) -> struct(p as p, ring[(i + 1) % size(ring)] as q, beside[i] as other))")).alias("e"))
+    edges = cells(points, box, few=few).select("obs_id", F.explode(F.expr("transform(ring, (p, i) -> struct(p as p, ring[(i + 1) % size(ring)] as q, beside[i] as other))")).alias("e"))
     long = F.sqrt((F.col("e.p.x") - F.col("e.q.x")) ** 2 + (F.col("e.p.y") - F.col("e.q.y")) ** 2)
     shared = edges.where(F.col("e.other") != OUTSIDE).select(F.col("obs_id").alias("src"), F.col("e.other").alias("dst"), long.alias("w")).where(F.col("w") > least * diagonal)
     shared = shared.groupBy("src", "dst").agg(F.sum("w").alias("w"))
