@@ -2,8 +2,9 @@
 
 A cell starts as the box and is cut by sites near its own, found in rings of grid cells. A site q can cut the cell of p only while some corner
 of it is nearer to q than to p, so each round looks for such sites alone, takes the nearest of them, and cuts. A cell is certain once none is
-left and twice its radius lies within the cells that were searched; the others go on with cells four times as wide. Nothing comes to the
-driver, and no site meets more than MOST others in one round. Only a few sites (FEW, counted) are sent to every task instead.
+left and twice its radius lies within the cells that were searched; the others go on with cells four times as wide. While no grid cell holds
+many sites, all in reach come at once, as arrays by grid cell; else no site meets more than MOST others in one round. Nothing comes to the driver.
+Only a few sites (FEW, counted) are sent to every task instead.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arealis.operators.cut import cut
+from arealis.operators.cut import cut, dealt
 from arealis.operators.geometry import GEOM, POLYGON
-from arealis.operators.weights import _finest, _spread
+from arealis.operators.weights import HELD, _beside, _finest, _spread
 
 #: Sites that cut a cell in one round at most, and grid cells around a site that are searched.
 MOST, REACH = 64, 2
@@ -59,8 +60,13 @@ def cut_cell(corners: list[tuple[float, float]], beside: list[int], others: Iter
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rings, besides, reaches = [], [], []
-        for x, y, ring, beside, near in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "ring", "beside", "near")), strict=True):
-            others = [(q["x"] - x, q["y"] - y, q["dst"]) for q in near or ()]
+        near = batch.column("near")
+        ends, (ids, xs, ys) = near.offsets.to_numpy(), (near.values.field(c).to_numpy(zero_copy_only=False) for c in ("obs_id", "x", "y"))
+        for i, (own, x, y, ring, beside) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("obs_id", "x", "y", "ring", "beside")), strict=True)):
+            qs, dx, dy = (a[ends[i] : ends[i + 1]] for a in (ids, xs, ys))
+            dx, dy, known = dx - x, dy - y, {own, *beside}
+            order = np.lexsort((qs, dx * dx + dy * dy))
+            others = ((qx, qy, q) for qx, qy, q in zip(dx[order].tolist(), dy[order].tolist(), qs[order].tolist(), strict=True) if q not in known)
             corners, beside = cut_cell([(v["x"] - x, v["y"] - y) for v in ring], beside, others)
             rings.append([{"x": vx + x, "y": vy + y} for vx, vy in corners])
             besides.append(beside)
@@ -69,6 +75,16 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("obs_id"), batch.column("x"), batch.column("y"), pa.array(rings, pa.list_(spot)), pa.array(besides, pa.list_(pa.int64())), pa.array(reaches, pa.float64()), batch.column("c")], names=["obs_id", "x", "y", "ring", "beside", "needs", "c"])
 
 
+NEAR = "array<struct<obs_id:bigint,x:double,y:double>>"
+
+
+def _met(open_cells: DataFrame, sites: DataFrame, size: float) -> DataFrame:
+    """open_cells cut by all sites in reach: those of a grid cell come as one array, so neither pairs nor rings are shuffled."""
+    rows = _beside(open_cells, sites, size, REACH, ("x", "y"))
+    rows = rows.select("obs_id", "x", "y", "ring", "beside", F.coalesce("others", F.array().cast(NEAR)).alias("near"), F.lit(0).cast("long").alias("c"))
+    return rows.mapInArrow(_cut_rows, f"obs_id long, x double, y double, {CELL}, needs double, c long")
+
+
 def _searched(open_cells: DataFrame, sites: DataFrame, size: float) -> DataFrame:
     """open_cells with `near`, the nearest MOST of the sites in reach that may cut them, and c, how many may; then cut."""
     place = lambda a: F.floor(F.col(a) / size)
@@ -78,10 +94,10 @@ def _searched(open_cells: DataFrame, sites: DataFrame, size: float) -> DataFrame
     own = sites.select(F.col("obs_id").alias("dst"), "x", "y", place("x").alias("cx"), place("y").alias("cy"))
     nearer = F.expr("not array_contains(beside, dst) and exists(ring, v -> 2 * ((x - sx) * (v.x - sx) + (y - sy) * (v.y - sy)) > (x - sx) * (x - sx) + (y - sy) * (y - sy))")
     d = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2
-    met = wide.join(own, ["cx", "cy"]).where(F.col("src") != F.col("dst")).where(nearer).select("src", "dst", "x", "y", d.alias("d"))
+    met = wide.join(dealt(own), ["cx", "cy"]).where(F.col("src") != F.col("dst")).where(nearer).select("src", "dst", "x", "y", d.alias("d"))
     ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("r") <= MOST + 1)
-    listed = ranked.groupBy(F.col("src").alias("obs_id")).agg(F.count(F.lit(1)).alias("c"), F.slice(F.array_sort(F.collect_list(F.struct("d", "dst", "x", "y"))), 1, MOST).alias("near"))
-    rows = open_cells.select("obs_id", "x", "y", "ring", "beside").join(listed, "obs_id", "left").withColumn("c", F.coalesce("c", F.lit(0)).cast("long"))
+    listed = ranked.groupBy(F.col("src").alias("obs_id")).agg(F.count(F.lit(1)).alias("c"), F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("dst").alias("obs_id"), "x", "y"))), 1, MOST).alias("near"))
+    rows = open_cells.select("obs_id", "x", "y", "ring", "beside").join(dealt(listed), "obs_id", "left").withColumns({"c": F.coalesce("c", F.lit(0)).cast("long"), "near": F.coalesce(F.transform("near", lambda q: F.struct(q["obs_id"].alias("obs_id"), q["x"].alias("x"), q["y"].alias("y"))), F.array().cast(NEAR))})
     return rows.mapInArrow(_cut_rows, f"obs_id long, x double, y double, {CELL}, needs double, c long")
 
 
@@ -105,7 +121,7 @@ def _cut_at_once(sites: DataFrame) -> DataFrame:
     return sites.select("obs_id", "x", "y", "ring", "beside").mapInArrow(run, f"obs_id long, x double, y double, {CELL}")
 
 
-def cells(points: DataFrame, box: tuple[float, float, float, float], per_cell: float = 2.0, few: int = FEW) -> DataFrame:
+def cells(points: DataFrame, box: tuple[float, float, float, float], per_cell: float = 2.0, few: int = FEW, held: int = HELD) -> DataFrame:
     """(obs_id, x, y, ring, beside): the part of the box nearer to each site than to any other, corners clockwise and not closed; beside[i] is the
     site across the edge that starts at corner i, or OUTSIDE.
 
@@ -122,12 +138,12 @@ def cells(points: DataFrame, box: tuple[float, float, float, float], per_cell: f
         return sites.withColumns(start)
     if n <= few:
         return _cut_at_once(sites.repartition(sites.sparkSession.sparkContext.defaultParallelism).withColumns(start))
-    size = _finest(sites, size)
+    size, full = _finest(sites, size)
     waiting, found = sites.withColumns(start), None
     while True:
         last, again, later = REACH * size > widest, waiting, None
         while True:
-            cells_now = cut(_searched(again, sites, size))
+            cells_now = cut((_met if full <= held else _searched)(again, sites, size))
             settled = F.col("c") <= MOST
             sure = settled & ((F.col("needs") < REACH * size) | F.lit(last))
             done = cells_now.where(sure).select("obs_id", "x", "y", "ring", "beside")
@@ -140,14 +156,14 @@ def cells(points: DataFrame, box: tuple[float, float, float, float], per_cell: f
         if later.isEmpty():
             return found
         waiting = later.select("obs_id", "x", "y", "ring", "beside")
-        size *= 4
+        size, full = size * 4, full * 16
 
 
 def thiessen(points: DataFrame, box: tuple[float, float, float, float], few: int = FEW) -> DataFrame:
     """points with geom, their Voronoi cell clipped to the box (closed clockwise ring); other columns are carried along."""
     closed = F.when(F.size("ring") > 0, F.concat("ring", F.slice("ring", 1, 1))).otherwise(F.col("ring"))
     geom = F.struct(F.lit(POLYGON).alias("type"), F.array(F.lit(0)).alias("parts"), closed.alias("points")).cast(GEOM)
-    return points.join(cells(points, box, few=few).select(F.col("obs_id").alias("_id"), geom.alias("geom")), F.col("obs_id") == F.col("_id")).drop("_id")
+    return points.join(dealt(cells(points, box, few=few).select(F.col("obs_id").alias("_id"), geom.alias("geom"))), F.col("obs_id") == F.col("_id")).drop("_id")
 
 
 def neighbours(points: DataFrame, box: tuple[float, float, float, float], least: float = 1e-9, few: int = FEW) -> DataFrame:
@@ -170,11 +186,12 @@ def holders(points: DataFrame, polygons: DataFrame, slack: float = 1e-9) -> Data
     shapes = cut(polygons.where(F.size("geom.points") > 0).select("obs_id", F.col("geom.points").alias("ring"), *[box(f, a).alias(f + a) for f in ("min", "max") for a in "xy"]))
     sides = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
     mean, n, across, up = shapes.agg(F.avg(sides), F.count(F.lit(1)), F.max("maxx") - F.min("minx"), F.max("maxy") - F.min("miny")).first()
-    size = max(mean or 0.0, max(across or 0.0, up or 0.0) / max(n, 1) ** 0.5)  # so that no polygon covers more cells than there are polygons
+    across, up = across or 0.0, up or 0.0
+    size = max(mean or 0.0, (across * up / max(n, 1)) ** 0.5, max(across, up) / max(n, 1))  # so that no polygon covers many more cells than there are polygons
     if not size:
         return points.select("key", F.lit(None).cast("long").alias("obs_id")).where("false")
     place = lambda c: F.floor(c / size)
     spread = shapes.withColumn("cx", F.explode(F.sequence(place(F.col("minx") - slack), place(F.col("maxx") + slack)))).withColumn("cy", F.explode(F.sequence(place(F.col("miny") - slack), place(F.col("maxy") + slack))))
     spots = points.select("key", F.col("x").alias("px"), F.col("y").alias("py")).withColumns({"cx": place(F.col("px")), "cy": place(F.col("py"))})
     inside = F.expr(f"forall(sequence(0, size(ring) - 2), i -> (ring[i + 1].x - ring[i].x) * (py - ring[i].y) - (ring[i + 1].y - ring[i].y) * (px - ring[i].x) <= {slack})")
-    return spots.join(spread, ["cx", "cy"]).where(inside).select("key", "obs_id")
+    return spots.join(dealt(spread), ["cx", "cy"]).where(inside).select("key", "obs_id")

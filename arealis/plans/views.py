@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arealis.functions.calc import standardize
 from arealis.functions.stats import simple_regression, summary
 from arealis.operators import classify, explore, geometry, rates, regression, rings, voronoi, weights
-from arealis.operators.cut import cut
+from arealis.operators.cut import cut, dealt
 from arealis.plans.base import CUS, LAG, NAT, NY, PAR, SUP, VAL, WQ, query
 from arealis.plans.calculator import HINGES, RANKS, REG, _haz
 from arealis.streaming import events as streams
@@ -233,7 +233,7 @@ def _g06_nearest(t):
     spots = t.part.crossJoin(F.broadcast(ends)).select(F.col("p_partkey").alias("key"), (F.col("lo") + (F.col("hi") - F.col("lo")) * ((F.col("p_partkey") * 7919) % 10007 / 10007.0)).alias("x"), (F.col("bo") + (F.col("up") - F.col("bo")) * ((F.col("p_partkey") * 104729) % 10009 / 10009.0)).alias("y"))
     cells = cut(voronoi.thiessen(c, geometry.extent(c, 1.0)))
     held = voronoi.holders(spots, cells).groupBy("key").agg(F.min("obs_id").alias("obs_id"))
-    return held.join(cells.select("obs_id", "v"), "obs_id").select(F.col("key").alias("k"), F.col("obs_id").alias("site"), "v")
+    return held.join(dealt(cells.select("obs_id", "v")), "obs_id").select(F.col("key").alias("k"), F.col("obs_id").alias("site"), "v")
 
 
 #: On the bisector of two sites, the part that no other site or side of the box (a margin of 1 around) cuts off: m + t d, from the first site.
