@@ -15,9 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
-from arealis.operators.cut import cut
+from arealis.operators.cut import cut, dealt
 from arealis.operators.rank import hashed_rank
 
 #: Bytes of a table that goes to every task, and copies of it that share the rows of one degree beyond that.
@@ -98,8 +98,8 @@ def conditional_p(found: DataFrame, key: str, value: str, tests: dict[str, tuple
     return wide.withColumns(out).select(*found.columns, *out)
 
 
-#: Places that a task computes at once.
-AT_ONCE = 1 << 20
+#: Places that a task computes at once, and draws of one permutation that are compared with each other; more come from a bijection.
+AT_ONCE, COMPARED = 1 << 18, 24
 
 
 def _own_streams(keys: np.ndarray, perms: np.ndarray) -> np.ndarray:
@@ -108,18 +108,49 @@ def _own_streams(keys: np.ndarray, perms: np.ndarray) -> np.ndarray:
         return _mixed(_mixed(keys.astype("i8").view("u8"))[:, None] + perms.astype("u8")[None, :] * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _means(values: np.ndarray, k: int, own: int, stream: np.ndarray) -> np.ndarray:
-    """The mean of k distinct others in each permutation; `own` is the observation's place among the values, or -1."""
-    m = len(values) - (own >= 0)
-    at = place(np.tile(np.arange(k), len(stream)), np.full(k * len(stream), m), np.repeat(stream, k))
-    at += (at >= own) & (own >= 0)
-    return values[at].reshape(len(stream), k).mean(1)
+def _distinct(k: int, m: int, stream: np.ndarray) -> np.ndarray:
+    """k distinct places below m for each stream, every set of k as likely as any other: k x streams.
+
+    A few are drawn by Floyd's method: the i-th is uniform below m - k + i + 1, or m - k + i itself if that one is taken.
+    """
+    if k > COMPARED:
+        return place(np.tile(np.arange(k), len(stream)), np.full(k * len(stream), m), np.repeat(stream, k)).reshape(len(stream), k).T
+    steps = np.arange(1, k + 1, dtype="u8")[:, None]
+    with np.errstate(over="ignore"):
+        mixed = _mixed(stream[None, :] + steps * np.uint64(0xD1342543DE82EF95))
+    at = ((mixed >> np.uint64(12)).astype("f8") * ((m - k + steps.astype("f8")) * 2.0**-52)).astype("i8")
+    for i in range(1, k):
+        taken = at[0] == at[i]
+        for j in range(1, i):
+            taken |= at[j] == at[i]
+        if taken.any():
+            at[i, taken] = m - k + i
+    return at
+
+
+def _means(values: np.ndarray, k: int, own: int | np.ndarray, stream: np.ndarray) -> np.ndarray:
+    """The mean of k distinct others in each permutation; `own` is the observation's place among the values (one, or one for each stream), or -1 for all."""
+    there = bool(np.all(np.asarray(own) >= 0))
+    at = _distinct(k, len(values) - there, stream)
+    if there:
+        at += at >= own
+    return values[at].mean(0)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _places(k: pd.Series, m: pd.Series, stream: pd.Series) -> pd.Series:
+    ks, ms, streams, out = k.to_numpy(), m.to_numpy(), stream.to_numpy("i8").view("u8"), np.empty(len(k), object)
+    for a, b in set(zip(ks.tolist(), ms.tolist(), strict=True)):
+        rows = np.flatnonzero((ks == a) & (ms == b))
+        for r, at in zip(rows, _distinct(a, b, streams[rows]).T, strict=True):
+            out[r] = at
+    return pd.Series(out)
 
 
 def independent_p(found: DataFrame, key: str, value: str, tests: dict[str, tuple[Column, Column, Column]], permutations: int = 499, seed: int = 42, by: list[str] | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """As `conditional_p`, but every observation draws anew in every permutation, so that p values of neighbours don't hang together.
 
-    The places of the draws come from a bijection keyed by seed, observation and permutation. While the values of all groups take at most
+    The places of the draws come from hashes of seed, observation and permutation, those of many neighbours from a bijection keyed by them. While the values of all groups take at most
     `most_bytes`, they go to every task and nothing is shuffled; beyond that the places are joined with the table of values. Both give the same draws.
     """
     by = by or []
@@ -128,10 +159,10 @@ def independent_p(found: DataFrame, key: str, value: str, tests: dict[str, tuple
     found = cut(found.withColumn("_g", group))
     pool = cut(hashed_rank(found.where(F.col(value).isNotNull()).select("_g", key, F.col(value).cast("double").alias("_v")), F.pmod(F.xxhash64(key), F.lit(4096)), [F.col(key)], "_at", ["_g"]).withColumn("_at", F.col("_at") - 1))
     sizes = pool.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    placed = found.withColumns(spec).withColumn("_h", F.xxhash64(F.lit(seed), key, *by)).join(pool.select("_g", key, F.col("_at").alias("_own")), ["_g", key], "left").join(sizes, "_g", "left")
+    placed = found.withColumns(spec).withColumn("_h", F.xxhash64(F.lit(seed), key, *by)).join(dealt(pool.select("_g", key, F.col("_at").alias("_own"))), ["_g", key], "left").join(sizes, "_g", "left")
     drawing = (F.col("k") > 0) & (F.col("_n") - F.when(F.col("_own").isNotNull(), 1).otherwise(0) >= F.col("k"))
     live = placed.where(drawing).select("_g", key, "_h", F.col("k").cast("long").alias("k"), F.coalesce("_own", F.lit(-1)).alias("_own"), "_n", *spec)
-    names, kind = list(tests), found.schema[key].dataType.simpleString()
+    names, inputs, kind = list(tests), list(spec), found.schema[key].dataType.simpleString()
     if pool.count() * 8 <= most_bytes:
         values = {}
         for batch in pool.select("_g", "_at", "_v").toArrow().to_pandas().groupby("_g"):  # checked to be at most most_bytes
@@ -140,23 +171,29 @@ def independent_p(found: DataFrame, key: str, value: str, tests: dict[str, tuple
 
         def run(batches):
             for pdf in batches:
-                counts = np.zeros((len(pdf), len(names)), "i8")
-                for r, (g, h, k, own) in enumerate(zip(pdf["_g"], pdf["_h"], pdf["k"], pdf["_own"], strict=True)):
-                    streams, step = _own_streams(np.array([h]), perms)[0], max(1, AT_ONCE // k)
-                    means = np.concatenate([_means(values[g], k, own, streams[i : i + step]) for i in range(0, permutations, step)])
-                    for t in range(len(names)):
-                        a, b, s = (pdf[f"_t{t}{c}"].iat[r] for c in "abs")
-                        counts[r, t] = int((a + b * means >= s).sum())
+                counts, (h, owns) = np.zeros((len(pdf), len(names)), "i8"), (pdf[c].to_numpy("i8") for c in ("_h", "_own"))
+                lines = {c: pdf[c].to_numpy("f8") for c in inputs}
+                for (g, k, there), rows in pdf.groupby(["_g", "k", owns >= 0]).indices.items():
+                    step = max(1, AT_ONCE // (int(k) * permutations))
+                    part = max(1, min(permutations, AT_ONCE // int(k)))
+                    for of in (rows[i : i + step] for i in range(0, len(rows), step)):
+                        for some in (perms[i : i + part] for i in range(0, permutations, part)):
+                            own = np.repeat(owns[of], len(some)) if there else -1
+                            means = _means(values[g], int(k), own, _own_streams(h[of], some).ravel()).reshape(len(of), len(some))
+                            for t in range(len(names)):
+                                a, b, s = (lines[f"_t{t}{c}"][of][:, None] for c in "abs")
+                                counts[of, t] += (a + b * means >= s).sum(1)
                 yield pd.DataFrame({"_g": pdf["_g"], key: pdf[key], **{f"_c{t}": counts[:, t] for t in range(len(names))}})
 
-        hits = live.mapInPandas(run, f"_g string, `{key}` {kind}, " + ", ".join(f"_c{t} long" for t in range(len(names))))
+        # the rows are few for what they cost, so they are dealt to more tasks than their size asks for
+        hits = live.repartition(4 * found.sparkSession.sparkContext.defaultParallelism, key).mapInPandas(run, f"_g string, `{key}` {kind}, " + ", ".join(f"_c{t} long" for t in range(len(names))))
     else:
         own_stream = F.pandas_udf(lambda h, p: pd.Series(_mixed(_mixed(h.to_numpy("i8").view("u8")) + p.to_numpy("u8") * np.uint64(0x9E3779B97F4A7C15)).view("i8")), LongType())
         draws = live.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_s", own_stream("_h", F.col("perm").cast("long")))
-        draws = draws.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("_at", _place("_j", F.col("_n") - F.when(F.col("_own") >= 0, 1).otherwise(0), "_s"))
+        draws = draws.withColumn("_at", F.explode(_places("k", F.col("_n") - F.when(F.col("_own") >= 0, 1).otherwise(0), "_s")))
         draws = draws.withColumn("_at", F.col("_at") + F.when((F.col("_own") >= 0) & (F.col("_at") >= F.col("_own")), 1).otherwise(0))
-        means = draws.select("_g", key, "perm", "_at", *spec).join(pool.select("_g", "_at", "_v"), ["_g", "_at"]).groupBy("_g", key, "perm", *spec).agg(F.avg("_v").alias("_m"))
+        means = draws.select("_g", key, "perm", "_at", *spec).join(dealt(pool.select("_g", "_at", "_v")), ["_g", "_at"]).groupBy("_g", key, "perm", *spec).agg(F.avg("_v").alias("_m"))
         reached = lambda t: F.coalesce(F.col(f"_t{t}a") + F.col(f"_t{t}b") * F.col("_m") >= F.col(f"_t{t}s"), F.lit(False))
         hits = means.groupBy("_g", key).agg(*[F.sum(F.when(reached(t), 1).otherwise(0)).alias(f"_c{t}") for t in range(len(names))])
     out = {n: F.when(tests[n][2].isNotNull(), (F.least(F.col(f"_c{t}"), permutations - F.col(f"_c{t}")) + 1) / (permutations + 1)) for t, n in enumerate(names)}
-    return found.join(hits, ["_g", key], "left").withColumns(out).select(*[c for c in found.columns if c != "_g"], *out)
+    return found.join(dealt(hits), ["_g", key], "left").withColumns(out).select(*[c for c in found.columns if c != "_g"], *out)
