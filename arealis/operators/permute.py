@@ -22,6 +22,8 @@ from arealis.operators.rank import hashed_rank
 
 #: Bytes of a table that goes to every task, and copies of it that share the rows of one degree beyond that.
 BROADCAST_BYTES, COPIES = 64 << 20, 64
+#: Bytes that a drawn value takes in such a table, with its key.
+DRAWN_BYTES = 128
 ROUNDS = 8
 
 
@@ -80,16 +82,19 @@ def conditional_p(found: DataFrame, key: str, value: str, tests: dict[str, tuple
     degrees = live.select(*by, "k").distinct()
     at_k = drawn.select(*by, "perm", F.col("_j").alias("k"), "_p", "_s").join(degrees, [*by, "k"])
     means = cut(at_k.groupBy(*by, "k").agg(F.collect_list(F.col("_p") / F.col("k")).alias("_means")))
-    own = drawn.select(*by, "perm", F.col("_who").alias(key), "_j", F.col("_v").alias("_own")).join(live.select(*by, key, "k"), [*by, key]).where("_j < k")
+    # At most one row for each permutation and place, whatever the number of observations.
+    few = F.broadcast if drawn.count() * DRAWN_BYTES <= BROADCAST_BYTES else dealt
+    own = live.select(*by, key, "k").join(few(drawn.select(*by, "perm", F.col("_who").alias(key), "_j", F.col("_v").alias("_own"))), [*by, key]).where("_j < k")
     both = own.join(at_k, [*by, "perm", "k"]).select(*by, key, F.struct((F.col("_p") / F.col("k")).alias("was"), ((F.col("_s") - F.col("_own")) / F.col("k")).alias("now")).alias("e"))
     changed = both.groupBy(*by, key).agg(F.collect_list("e").alias("_changed"))  # at most one for each permutation
 
+    # The means come last: a row that carries them has 8 bytes for each permutation, so it is neither shuffled nor sorted.
+    wide = found.join(few(changed), [*by, key], "left").withColumn("_changed", F.coalesce("_changed", F.expr("cast(array() as array<struct<was: double, now: double>>)")))
     if means.count() * permutations * 8 <= BROADCAST_BYTES:
-        wide = found.join(F.broadcast(means), [*by, "k"], "left")
+        wide = wide.join(F.broadcast(means), [*by, "k"], "left")
     else:
         copies = means.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-        wide = found.withColumn("_copy", F.pmod(F.xxhash64(key), F.lit(COPIES)).cast("int")).join(copies, [*by, "k", "_copy"], "left").drop("_copy")
-    wide = wide.join(changed, [*by, key], "left").withColumn("_changed", F.coalesce("_changed", F.expr("cast(array() as array<struct<was: double, now: double>>)")))
+        wide = wide.withColumn("_copy", F.pmod(F.xxhash64(key), F.lit(COPIES)).cast("int")).join(dealt(copies), [*by, "k", "_copy"], "left").drop("_copy")
     out = {}
     for name, (a, b, stat) in tests.items():
         reached = lambda get: lambda e: F.coalesce(a + b * get(e) >= stat, F.lit(False))  # noqa: B023, E731
