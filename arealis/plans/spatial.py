@@ -99,7 +99,7 @@ def _l01(t):
 
 @query("l02_lag_kernel", "obs_id:i lag:f", f"{EMB}, bd AS ({BAND.format('emb', 0.1)})", "SELECT e.obs_id, coalesce((SELECT avg(n.y) FROM bd JOIN emb n ON n.obs_id = bd.dst WHERE bd.src = e.obs_id), 0) AS lag FROM emb e")
 def _l02(t):
-    return autocorr.lag_kernel(t.embedded(), weights.distance_band(t.embedded(), 0.1), "obs_id", "y", "lag")
+    return autocorr.lag_band(t.embedded(), 0.1, "obs_id", "y", "lag")
 
 
 PERM = "pv AS (SELECT a.obs_id, b.v FROM (SELECT obs_id, row_number() OVER (ORDER BY obs_id) k FROM val) a JOIN (SELECT v, row_number() OVER (ORDER BY md5(concat_ws('|', '42', obs_id::VARCHAR))) k FROM val) b USING (k))"
